@@ -7,6 +7,7 @@ for rows that need no answer, so that their bytes never leave the JVM.
 from __future__ import annotations
 
 import codecs
+import re
 
 import numpy as np
 import pandas as pd
@@ -42,41 +43,49 @@ def may_have_high_entropy(content: Column) -> Column:
     return (F.octet_length(content) > int(2**rules.HIGH_ENTROPY)) & ~ascii_only
 
 
+def _qualified(runs) -> tuple[int, str | None]:
+    good = [run for run in runs if byte_entropy(run.encode()) >= rules.BASE64_MIN_ENTROPY]
+    return len(good), good[0] if good else None
+
+
 def high_entropy_runs(runs: Column) -> Column:
     """``struct<n, first>``: how many of the strings reach the base64 entropy floor,
     and the first that does."""
 
     @F.pandas_udf("n int, first string")
     def qualify(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for values in batch:
-            good = [] if values is None else [
-                v for v in values if byte_entropy(v.encode()) >= rules.BASE64_MIN_ENTROPY
-            ]
-            out.append((len(good), good[0] if good else None))
-        return pd.DataFrame(out, columns=["n", "first"])
+        found = [(None, None) if runs is None else _qualified(runs) for runs in batch]
+        return pd.DataFrame(found, columns=["n", "first"])
 
     return qualify(runs)
 
 
-def utf16_text(content: Column) -> Column:
-    """Text of UTF-16 content; NULL if its head is not valid UTF-16.
+def utf16(content: Column) -> Column:
+    """``struct<text, n, first>`` of UTF-16 content: its text, and what
+    :func:`high_entropy_runs` finds in it. ``text`` is NULL if the head of the content
+    is not valid UTF-16.
 
-    Callers pass NULL for content without a UTF-16 mark.
+    Callers pass NULL for content without a UTF-16 mark. The runs are found here
+    because a second Python step on this step's result would make the optimizer fold
+    the whole text expression into each use of it.
     """
+    shaped = re.compile(rules.BASE64_RUN)
 
-    def decode(data: bytes) -> str | None:
+    def decode(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None
         try:
             cut = len(data) > rules.BINARY_PROBE_BYTES
             codecs.getincrementaldecoder("utf-16")().decode(
                 data[: rules.BINARY_PROBE_BYTES], final=not cut
             )
         except UnicodeDecodeError:
-            return None
-        return data.decode("utf-16", "ignore")
+            return None, None, None
+        text = data.decode("utf-16", "ignore")
+        return text, *_qualified(run for run in shaped.findall(text) if len(run) % 4 == 0)
 
-    @F.pandas_udf("string")
-    def of_bytes(batch: pd.Series) -> pd.Series:
-        return batch.map(decode, na_action="ignore")
+    @F.pandas_udf("text string, n int, first string")
+    def of_bytes(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode(data) for data in batch], columns=["text", "n", "first"])
 
     return of_bytes(content)

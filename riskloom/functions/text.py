@@ -7,6 +7,8 @@ white space plus U+001C-U+001F, and a word character is a letter, number or ``_`
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +61,10 @@ def fold(text: Column) -> Column:
     """Lower-case text such that a lower-case ASCII literal occurs in the result
     exactly where it matches the input with case ignored. Keeps code-point counts,
     so bounded gaps still measure the same distance."""
-    return F.when(is_ascii(text), F.lower(text)).otherwise(
+    special = F.lit(False)
+    for letter in FOLD_FROM:
+        special = special | F.contains(text, F.lit(letter))
+    return F.when(is_ascii(text) | ~special, F.lower(text)).otherwise(
         F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
     )
 
@@ -73,12 +78,12 @@ def line_of_literal(text: Column, literal: Column) -> Column:
     return newlines(F.call_function("substring_index", text, literal, F.lit(1))) + 1
 
 
-def line_of_regex(text: Column, pattern: str) -> Column:
+def line_of_regex(text: Column, pattern: Column) -> Column:
     """Line of the first match of a pattern known to match."""
-    return newlines(F.split(text, pattern, 2)[0]) + 1
+    return newlines(F.get(F.split(text, pattern, 2), 0)) + 1
 
 
-def match_lines(text: Column, pattern: str) -> Column:
+def match_lines(text: Column, pattern: Column) -> Column:
     """Line numbers of all matches, aligned with ``regexp_extract_all``.
 
     The text between matches is reduced to its newlines with a mark per match; the
@@ -90,7 +95,7 @@ def match_lines(text: Column, pattern: str) -> Column:
 
     marked = F.zip_with(
         F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        F.regexp_extract_all(text, pattern, F.lit(0)),
         lambda between, match: F.when(
             match.isNotNull(), F.concat(only_newlines(between), F.lit("|"), only_newlines(match))
         ),
@@ -132,24 +137,18 @@ def has_utf16_mark(content: Column) -> Column:
     )
 
 
-def is_binary(content: Column, utf16_text: Column) -> Column:
-    """Binary test on the first 1,024 bytes.
+def is_binary(content: Column) -> Column:
+    """Binary test on the first 1,024 bytes of content without a UTF-16 mark.
 
-    ``utf16_text`` is NULL unless the content starts with a UTF-16 mark and its
-    head decodes. A character cut by the probe's end is judged by its remaining
-    bytes, so a text file is not taken for binary because of where it was cut.
+    A character cut by the probe's end is judged by its remaining bytes, so a text
+    file is not taken for binary because of where it was cut.
     """
     probe = F.substring(content, 1, rules.BINARY_PROBE_BYTES)
     whole = F.lit(False)
     for extra in range(4):
         part = F.substring(content, 1, rules.BINARY_PROBE_BYTES + extra)
         whole = whole | F.is_valid_utf8(part.cast("string"))
-    return (
-        F.when(content.isNull(), True)
-        .when(has_utf16_mark(content), utf16_text.isNull())
-        .when(F.contains(probe, F.lit(bytearray(b"\x00"))), True)
-        .otherwise(~whole)
-    )
+    return content.isNull() | F.contains(probe, F.lit(bytearray(b"\x00"))) | ~whole
 
 
 def file_name(path: Column) -> Column:
@@ -167,13 +166,8 @@ def file_type(path: Column) -> Column:
 
 
 def language(extension: Column) -> Column:
-    by_language: dict[str, list[str]] = {}
-    for ext, lang in rules.LANGUAGE_BY_EXTENSION.items():
-        by_language.setdefault(lang, []).append(ext)
-    found = F.lit("unknown")
-    for lang, extensions in by_language.items():
-        found = F.when(F.lower(extension).isin(extensions), lang).otherwise(found)
-    return found
+    by_extension = F.from_json(F.lit(json.dumps(rules.LANGUAGE_BY_EXTENSION)), "map<string,string>")
+    return F.coalesce(F.try_element_at(by_extension, F.lower(extension)), F.lit("unknown"))
 
 
 def mask(value: Column) -> Column:

@@ -17,6 +17,3 @@ def parse_version(version: Column) -> Column:
     )
     return F.when(~F.exists(parts, lambda part: part.isNull()), parts)
 
-
-def version_literal(version: str) -> Column:
-    return F.array(*[F.lit(int(part)).cast("bigint") for part in version.split(".")])

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import rules
-from riskloom.functions.findings import FINDINGS, finding, no_findings
+from riskloom.functions.findings import FINDING, FINDINGS, no_findings, rule_table
 from riskloom.functions.text import (
     SPACE, decode_utf8, line_of_literal, universal_newlines,
 )
-from riskloom.functions.versions import parse_version, version_literal
+from riskloom.functions.versions import parse_version
 from riskloom.operators.joins import join_measured
 
 DEPENDENCIES = (
@@ -69,25 +69,31 @@ def parse_manifest(path: Column, text: Column) -> Column:
     )
 
 
-def _with_line(dependency: Column, text: Column) -> Column:
+def _finding(detector, severity, description, line, points) -> Column:
+    return F.struct(
+        F.lit(detector), F.lit(severity), F.lit("vulnerable_dependency"), description,
+        F.lit(None), line, F.lit(points),
+    ).cast(FINDING)
+
+
+def _line(dependency: Column, text: Column) -> Column:
     """npm entries get the line of the first ``"name"`` in the text."""
     quoted = F.concat(F.lit('"'), dependency["package"], F.lit('"'))
-    line = F.when(dependency["ecosystem"] == rules.PYPI, dependency["line"]).when(
-        F.contains(text, quoted), line_of_literal(text, quoted)
+    return F.when(dependency["ecosystem"] == rules.PYPI, dependency["line"]).when(
+        F.contains(text, quoted), line_of_literal(text, quoted).cast("int")
     )
-    return dependency.withField("line", line.cast("int"))
 
 
 def _floor_table(floors) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(ecosystem).alias("ecosystem"), F.lit(package).alias("package"),
-            version_literal(floor).alias("floor"), F.lit(floor).alias("floor_text"),
-            F.lit(reason).alias("reason"),
-        )
-        for ecosystem, packages in floors.items()
-        for package, (floor, reason) in packages.items()
-    ])
+    return rule_table(
+        [
+            {"ecosystem": ecosystem, "package": package, "floor": floor,
+             "version": [int(part) for part in floor.split(".")], "reason": reason}
+            for ecosystem, packages in floors.items()
+            for package, (floor, reason) in packages.items()
+        ],
+        "ecosystem:string,package:string,floor:string,version:array<bigint>,reason:string",
+    )
 
 
 def floor_findings(dependencies: Column, text: Column, floors=None) -> Column:
@@ -99,18 +105,17 @@ def floor_findings(dependencies: Column, text: Column, floors=None) -> Column:
         npm = F.concat(F.lit("NPM package '"), d["package"], F.lit("': "), f["reason"])
         pip = F.concat(
             F.lit("Python package '"), d["package"], F.lit("' pinned to "), d["pinned"],
-            F.lit(": "), f["reason"], F.lit(" (fixed in "), f["floor_text"], F.lit(")"),
+            F.lit(": "), f["reason"], F.lit(" (fixed in "), f["floor"], F.lit(")"),
         )
-        return F.struct(d["ord"].alias("ord"), finding(
-            "floor", "medium", "vulnerable_dependency",
-            F.when(d["ecosystem"] == rules.NPM, npm).otherwise(pip),
-            line=_with_line(d, text)["line"], points=rules.POINTS_FLOOR,
+        return F.struct(d["ord"].alias("ord"), _finding(
+            "floor", "medium", F.when(d["ecosystem"] == rules.NPM, npm).otherwise(pip),
+            _line(d, text), rules.POINTS_FLOOR,
         ).alias("finding"))
 
     def below(d):
         return F.transform(
             F.filter(table, lambda f: (f["ecosystem"] == d["ecosystem"])
-                     & (f["package"] == d["package"]) & (d["version"] < f["floor"])),
+                     & (f["package"] == d["package"]) & (d["version"] < f["version"])),
             lambda f: report(d, f),
         )
 
@@ -121,7 +126,11 @@ def advisory_pins(dependencies: Column, text: Column) -> Column:
     """The first 50 dependencies of a manifest with a readable version, with lines."""
     pinned = F.filter(dependencies, lambda d: d["version"].isNotNull())
     return F.transform(
-        F.slice(pinned, 1, rules.ADVISORY_PINS_PER_MANIFEST), lambda d: _with_line(d, text)
+        F.slice(pinned, 1, rules.ADVISORY_PINS_PER_MANIFEST), lambda d: F.struct(
+            d["ecosystem"].alias("ecosystem"), d["package"].alias("package"),
+            d["pinned"].alias("pinned"), d["version"].alias("version"),
+            _line(d, text).alias("line"), d["ord"].alias("ord"),
+        )
     )
 
 
@@ -187,8 +196,7 @@ def advisory_rows(parsed: DataFrame, advisories: DataFrame) -> DataFrame:
     )
     return matched.select(
         "repo_id", "path", "ord", advisory.alias("advisory"),
-        finding("advisory", "high", "vulnerable_dependency", description,
-                line=F.col("line"), points=rules.POINTS_ADVISORY).alias("finding"),
+        _finding("advisory", "high", description, F.col("line"), rules.POINTS_ADVISORY).alias("finding"),
     )
 
 

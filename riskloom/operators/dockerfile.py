@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import rules
-from riskloom.functions.findings import (
-    finding, one_if, or_none, route_severity, total_points, with_severity,
-)
+from riskloom.functions.findings import hit, hits_if, to_findings, total_points
 from riskloom.functions.text import NOT_SPACE as N
 from riskloom.functions.text import SPACE as S
 from riskloom.functions.text import WORD as W
@@ -83,23 +81,18 @@ def _copy_would_do(line: Column) -> Column:
     return let(source, plain)
 
 
-def _line_findings(line: Column, i: Column, stages: Column) -> Column:
+def _line_hits(line: Column, i: Column, stages: Column) -> Column:
+    image = F.regexp_extract(line, FROM, 1)
+
     def report(condition, category, description, points=0):
-        category = f"dockerfile_{category}"
-        return one_if(condition, finding(
-            "dockerfile", route_severity(F.lit(category), "low"), category, description,
-            line=i + 1, points=points,
-        ))
+        return condition, hit(f"dockerfile_{category}", description, line=i + 1, points=points)
 
-    def base_image(image):
-        loose = _unpinned(image) & ~_declared_before(stages, F.lower(image), i)
-        return report(
-            loose, "unpinned_base_image",
+    return hits_if(
+        report(
+            let(image, lambda name: _unpinned(name) & ~_declared_before(stages, F.lower(name), i)),
+            "unpinned_base_image",
             F.concat(F.lit("Base image not pinned to a specific version: "), image),
-        )
-
-    return F.concat(
-        let(F.regexp_extract(line, FROM, 1), base_image),
+        ),
         report(line.rlike(USER_ROOT), "root_user", "Explicitly runs as root", rules.POINTS_ROOT_USER),
         report(_copy_would_do(line), "add_vs_copy",
                "ADD used where COPY would suffice (no auto-extraction/URL fetch needed)"),
@@ -118,20 +111,16 @@ def dockerfile(text: Column, name: Column) -> Column:
 
     def scan(lines):
         per_line = let(_stages(lines), lambda stages: F.flatten(
-            F.transform(lines, lambda line, i: _line_findings(line, i, stages))
+            F.transform(lines, lambda line, i: _line_hits(line, i, stages))
         ))
-        no_user = one_if(
+        no_user = hits_if((
             ~F.exists(lines, lambda line: line.rlike(USER)),
-            finding("dockerfile", "low", "dockerfile_root_user",
-                    "No USER instruction: container runs as root by default",
-                    points=rules.POINTS_ROOT_USER),
-        )
+            hit("dockerfile_root_user", "No USER instruction: container runs as root by default",
+                points=rules.POINTS_ROOT_USER),
+        ))
         return F.concat(per_line, no_user)
 
-    def stamp(found):
-        return let(
-            F.when(total_points(found) >= rules.DOCKER_MEDIUM_FROM, "medium").otherwise("low"),
-            lambda severity: with_severity(found, severity),
-        )
-
-    return or_none(F.when(is_dockerfile(name), let(let(F.split(text, "\n"), scan), stamp)))
+    hits = F.when(is_dockerfile(name), let(F.split(text, "\n"), scan))
+    return to_findings("dockerfile", hits, lambda found: F.when(
+        total_points(found) >= rules.DOCKER_MEDIUM_FROM, "medium"
+    ).otherwise("low"))

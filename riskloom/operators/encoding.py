@@ -2,72 +2,76 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions.entropy import high_entropy_runs
-from riskloom.functions.findings import (
-    finding, no_findings, one_if, or_none, total_points, with_severity,
-)
-from riskloom.functions.text import let, line_of_literal
+from riskloom.functions.findings import hit, hits_if, rule_table, to_findings, total_points
+from riskloom.functions.text import line_of_literal
+
+# The run pattern with its character class spelled out: Java looks a listed character
+# up in one table, but tests ranges one after the other.
+_LISTED = string.ascii_letters + string.digits + "+/"
+BASE64_RUN = rules.BASE64_RUN.replace("[A-Za-z0-9+/]", f"[{_LISTED}]")
+
+
+def base64_shaped(text: Column) -> Column:
+    """Runs of at least 40 base64 characters whose length is a multiple of 4."""
+    return F.filter(
+        F.regexp_extract_all(text, F.lit(BASE64_RUN), F.lit(0)),
+        lambda run: F.length(run) % 4 == 0,
+    )
 
 
 def base64_runs(text: Column) -> Column:
-    """``struct<n, first>`` over the runs that look like base64: at least 40
-    characters, a multiple of 4 long, entropy of 4.5 bits or more.
+    """``struct<n, first>`` over the shaped runs with an entropy of 4.5 bits or more.
 
     Two or fewer candidates can never be reported, so their text stays in the JVM.
     """
-    shaped = F.filter(
-        F.regexp_extract_all(text, F.lit(rules.BASE64_RUN), F.lit(0)),
-        lambda run: F.length(run) % 4 == 0,
-    )
+    shaped = base64_shaped(text)
     return high_entropy_runs(F.when(F.size(shaped) > rules.BASE64_FEW, shaped))
 
 
 def base64_findings(text: Column, folded: Column, runs: Column) -> Column:
-    """``runs`` is the result of :func:`base64_runs`."""
-
-    def runs_finding(label: str, points: int) -> Column:
-        return finding(
-            "base64_runs", "low", "encoding",
-            F.concat(F.lit(label), runs["n"].cast("string")),
-            line=line_of_literal(text, runs["first"]), points=points,
-        )
-
-    parts = [
-        F.when(
-            runs["n"] > rules.BASE64_MANY,
-            F.array(runs_finding("Multiple base64 strings: ", rules.POINTS_BASE64_MANY)),
-        ).when(
-            runs["n"] > rules.BASE64_FEW,
-            F.array(runs_finding("Base64 strings: ", rules.POINTS_BASE64_FEW)),
-        ).otherwise(no_findings())
-    ]
-    for literal, description, points in rules.BASE64_CALLS:
-        lowered = F.lower(text)
-        # the folded text is a superset test; lower-casing again is only paid on a hit
-        parts.append(one_if(
-            F.contains(folded, F.lit(literal)) & F.contains(lowered, F.lit(literal)),
-            finding("base64_calls", "low", "encoding", description,
-                    line=line_of_literal(lowered, F.lit(literal)), points=points),
-        ))
-    return or_none(let(F.concat(*parts), lambda found: F.when(
-        total_points(found) > rules.MEDIUM_ABOVE, with_severity(found, F.lit("medium"))
-    ).otherwise(found)))
+    """``runs`` is the result of :func:`base64_runs`. Medium above 20 points in all."""
+    many = runs["n"] > rules.BASE64_MANY
+    counted = hits_if((runs["n"] > rules.BASE64_FEW, hit(
+        "encoding",
+        F.concat(
+            F.when(many, "Multiple base64 strings: ").otherwise("Base64 strings: "),
+            runs["n"].cast("string"),
+        ),
+        line=line_of_literal(text, runs["first"]),
+        points=F.when(many, rules.POINTS_BASE64_MANY).otherwise(rules.POINTS_BASE64_FEW),
+    )))
+    calls = rule_table(
+        [dict(zip(("literal", "description", "points"), call)) for call in rules.BASE64_CALLS],
+        "literal:string,description:string,points:int",
+    )
+    lowered = F.lower(text)
+    # the folded text contains every literal that the lower-cased one does; lower-casing
+    # again is only paid on a hit
+    called = F.filter(calls, lambda c: (
+        F.contains(folded, c["literal"]) & F.contains(lowered, c["literal"])
+    ))
+    hits = F.concat(counted, F.transform(called, lambda c: hit(
+        "encoding", c["description"], line=line_of_literal(lowered, c["literal"]), points=c["points"],
+    )))
+    return to_findings("base64", hits, lambda found: F.when(
+        total_points(found) > rules.MEDIUM_ABOVE, "medium"
+    ).otherwise("low"))
 
 
 def high_entropy(entropy: Column) -> Column:
     """One finding for content of more than 7.5 bits per byte."""
-    return one_if(
-        F.coalesce(entropy > rules.HIGH_ENTROPY, F.lit(False)),
-        finding(
-            "entropy", "medium", "obfuscation",
-            F.concat(
-                F.lit("High entropy: "), F.format_string("%.2f", F.bround(entropy, 2)),
-                F.lit(" (possible obfuscation)"),
-            ),
-            points=rules.POINTS_ENTROPY,
-        ),
+    description = F.concat(
+        F.lit("High entropy: "), F.format_string("%.2f", F.bround(entropy, 2)),
+        F.lit(" (possible obfuscation)"),
     )
+    return to_findings("entropy", hits_if((
+        entropy > rules.HIGH_ENTROPY,
+        hit("obfuscation", description, points=rules.POINTS_ENTROPY),
+    )), "medium")

@@ -8,143 +8,101 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import rules
-from riskloom.functions.findings import (
-    finding, or_none, route_severity, with_severity,
-)
+from riskloom.functions.findings import hit, rule_table, to_findings
 from riskloom.functions.text import language, let, line_of_literal, line_of_regex
 
 _PLAIN = re.compile(r"(?:\w|\\\.|\\\()+")
+_GAP = re.compile(r"\.\{0,200\}|\([a-z|]+\)")
 
 
-def _literal(pattern: str) -> str | None:
-    """Text matched by a regex that is only an escaped literal, else None."""
-    return pattern.replace("\\", "") if _PLAIN.fullmatch(pattern) else None
+def _rule(category: str, pattern: str) -> dict:
+    """A pattern that is only an escaped literal is searched as such. Any other keeps
+    its regex and lists the literals that every match contains."""
+    plain = _PLAIN.fullmatch(pattern) is not None
+    parts = [pattern] if plain else [part for part in _GAP.split(pattern) if part]
+    return {
+        "category": category, "pattern": pattern,
+        "literals": [part.replace("\\", "") for part in parts],
+        "regex": None if plain else f"(?d){pattern}",
+    }
 
 
-def _needed(pattern: str) -> list[str]:
-    """Literals that every match of a gapped or alternated regex contains."""
-    parts = re.split(r"\.\{0,200\}|\([a-z|]+\)", pattern)
-    return [part.replace("\\", "") for part in parts if part]
+def _matching(folded: Column, patterns: list[tuple[str, str]]) -> Column:
+    """``(category, pattern)`` rules that match the folded text, in rule order.
 
-
-def _rule_table(entries: list[tuple]) -> Column:
-    """Constant ``array<struct<ord, category, pattern, literal>>``: the rules stay
-    inside the expression instead of being joined."""
-    return F.array(*[
-        F.struct(
-            F.lit(o).alias("ord"), F.lit(c).alias("category"),
-            F.lit(p).alias("pattern"), F.lit(lit).alias("literal"),
-        )
-        for o, c, p, lit in entries
-    ])
-
-
-def _first_hits(folded: Column, patterns: list[tuple[str, str]]) -> Column:
-    """``array<struct<ord, category, pattern, line>>`` in rule order: every rule that
-    matches the folded text, with the line of its first match.
-
-    Plain literals are searched as such. Regexes are tried only where all their
-    literals occur, because a regex costs far more per character.
+    A regex costs far more per character than a literal search, so it is tried only
+    where all its literals occur.
     """
-    plain, gapped = [], []
-    for o, (category, pattern) in enumerate(patterns):
-        literal = _literal(pattern)
-        if literal is not None:
-            plain.append((o, category, pattern, literal))
-        else:
-            gapped.append((o, category, pattern))
-
-    def hit(o, category, pattern, line):
-        return F.struct(
-            o.alias("ord"), category.alias("category"),
-            pattern.alias("pattern"), line.cast("int").alias("line"),
-        )
-
-    hits = F.transform(
-        F.filter(_rule_table(plain), lambda r: F.contains(folded, r["literal"])),
-        lambda r: hit(r["ord"], r["category"], r["pattern"], line_of_literal(folded, r["literal"])),
+    table = rule_table(
+        [_rule(category, pattern) for category, pattern in patterns],
+        "category:string,pattern:string,literals:array<string>,regex:string",
     )
-    if not gapped:
-        return hits
-    regex_hits = []
-    for o, category, pattern in gapped:
-        found = F.lit(True)
-        for literal in _needed(pattern):
-            found = found & F.contains(folded, F.lit(literal))
-        java = "(?d)" + pattern
-        regex_hits.append(F.when(
-            found & folded.rlike(java),
-            hit(F.lit(o), F.lit(category), F.lit(pattern), line_of_regex(folded, java)),
-        ))
-    return F.array_sort(F.concat(hits, F.array_compact(F.array(*regex_hits))))
+    return F.filter(table, lambda r: (
+        F.forall(r["literals"], lambda literal: F.contains(folded, literal))
+        & (r["regex"].isNull() | F.rlike(folded, r["regex"]))
+    ))
+
+
+def _first_line(folded: Column, rule: Column) -> Column:
+    return F.when(
+        rule["regex"].isNull(), line_of_literal(folded, F.get(rule["literals"], 0))
+    ).otherwise(line_of_regex(folded, rule["regex"]))
 
 
 def malicious(folded: Column, patterns: dict[str, list[str]] | None = None) -> Column:
     """Each pattern counts once per file, at its first match. All become medium when
     the file's patterns exceed 20 points."""
-    patterns = patterns or rules.MALICIOUS_PATTERNS
-    ordered = [(category, p) for category, ps in patterns.items() for p in ps]
-    found = F.transform(
-        _first_hits(folded, ordered),
-        lambda h: finding(
-            "malicious", "low", h["category"],
-            F.concat(F.lit("Malicious pattern: "), h["pattern"]),
-            h["pattern"], h["line"], rules.POINTS_PATTERN,
-        ),
-    )
-    return or_none(let(found, lambda f: with_severity(
-        f, F.when(F.size(f) * rules.POINTS_PATTERN > rules.MEDIUM_ABOVE, "medium").otherwise("low")
-    )))
+    ordered = [
+        (category, pattern)
+        for category, group in (patterns or rules.MALICIOUS_PATTERNS).items() for pattern in group
+    ]
+    hits = F.transform(_matching(folded, ordered), lambda r: hit(
+        r["category"], F.concat(F.lit("Malicious pattern: "), r["pattern"]), r["pattern"],
+        _first_line(folded, r), rules.POINTS_PATTERN,
+    ))
+    return to_findings("malicious", hits, lambda found: F.when(
+        F.size(found) * rules.POINTS_PATTERN > rules.MEDIUM_ABOVE, "medium"
+    ).otherwise("low"))
+
+
+def network(folded: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
+    """Network calls, as unscored cautions at their first line."""
+    ordered = [(label, pattern) for pattern, label in patterns or rules.NETWORK_PATTERNS]
+    return to_findings("network", F.transform(
+        _matching(folded, ordered),
+        lambda r: hit("network", r["category"], line=_first_line(folded, r)),
+    ))
 
 
 def long_lines(text: Column) -> Column:
     """Every line over 500 characters, as an unscored caution."""
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda line, i: F.struct((i + 1).alias("line"), F.char_length(line).alias("chars")),
-    )
-    reported = F.transform(
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
+        (i + 1).alias("line"), F.char_length(line).alias("chars")
+    ))
+    hits = F.transform(
         F.filter(lines, lambda x: x["chars"] > rules.LONG_LINE),
-        lambda x: finding(
-            "long_line", route_severity(F.lit("long_line"), "low"), "long_line",
-            F.concat(
-                F.when(x["chars"] > rules.EXTREMELY_LONG_LINE, "extremely long line: ")
-                .otherwise("long line: "),
-                x["chars"].cast("string"), F.lit(" chars"),
-            ),
-            line=x["line"],
-        ),
+        lambda x: hit("long_line", F.concat(
+            F.when(x["chars"] > rules.EXTREMELY_LONG_LINE, "extremely long line: ")
+            .otherwise("long line: "),
+            x["chars"].cast("string"), F.lit(" chars"),
+        ), line=x["line"]),
     )
-    return or_none(F.when(F.char_length(text) > rules.LONG_LINE, reported))
+    return to_findings("long_line", F.when(F.char_length(text) > rules.LONG_LINE, hits))
 
 
 def dangerous_functions(
     text: Column, extension: Column, functions: dict[str, list[str]] | None = None
 ) -> Column:
     """Case-sensitive substrings by language, once per function, at the first line."""
-    lang = language(extension)
-    names = F.lit(None).cast("array<string>")
-    for key, values in (functions or rules.DANGEROUS_FUNCTIONS).items():
-        names = F.when(lang == key, F.array(*map(F.lit, values))).otherwise(names)
-    return or_none(F.transform(
-        F.filter(names, lambda fn: F.contains(text, fn)),
-        lambda fn: finding(
-            "dangerous_fn", "low", "dangerous_function",
-            F.concat(F.lit("Dangerous function: "), fn),
-            line=line_of_literal(text, fn), points=rules.POINTS_FUNCTION,
-        ),
-    ))
-
-
-def network(folded: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
-    """Network calls, as unscored cautions at their first line."""
-    ordered = [(label, pattern) for pattern, label in patterns or rules.NETWORK_PATTERNS]
-    return or_none(F.transform(
-        _first_hits(folded, ordered),
-        lambda h: finding(
-            "network", route_severity(F.lit("network"), "low"), "network",
-            h["category"], line=h["line"],
-        ),
+    table = rule_table(
+        [{"language": lang, "name": name}
+         for lang, names in (functions or rules.DANGEROUS_FUNCTIONS).items() for name in names],
+        "language:string,name:string",
+    )
+    called = let(language(extension), lambda lang: F.filter(
+        table, lambda r: (r["language"] == lang) & F.contains(text, r["name"])
     ))
-
-
+    return to_findings("dangerous_fn", F.transform(called, lambda r: hit(
+        "dangerous_function", F.concat(F.lit("Dangerous function: "), r["name"]),
+        line=line_of_literal(text, r["name"]), points=rules.POINTS_FUNCTION,
+    )))

@@ -11,28 +11,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import rules
-from riskloom.functions.findings import finding, or_none
+from riskloom.functions.findings import hit, rule_table, to_findings
 from riskloom.functions.text import let, mask, match_lines, to_java
 
-# Texts without these cannot match; checked before the regex runs. "=" names tests
-# on case-folded text, for the patterns that ignore case.
+# Literals every match contains, checked before the regex runs. The
+# first list is matched as written; the second with case ignored.
 _GATES = {
-    "AWS Access Key ID": ["AKIA"],
-    "AWS Secret Access Key": ["aws_secret_access_key"],
-    "GitHub Token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
-    "GitLab Token": ["glpat-"],
-    "Slack Token": ["xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"],
-    "Slack Webhook": ["https://hooks.slack.com/services/"],
-    "Google API Key": ["AIza"],
-    "Stripe Key": ["sk_live_", "sk_test_", "pk_live_", "pk_test_"],
-    "Private Key Block": ["PRIVATE KEY-----"],
-    "JWT": ["eyJ"],
-    "Generic API Key Assignment": ["=apikey", "=api_key", "=api-key"],
-    "Generic Secret Assignment": ["=secret", "=token"],
-    "Hardcoded Password": ["=password"],
-    "Twilio API Key": ["SK"],
-    "SendGrid API Key": ["SG."],
+    "AWS Access Key ID": (["AKIA"], []),
+    "AWS Secret Access Key": (["aws_secret_access_key"], []),
+    "GitHub Token": (["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], []),
+    "GitLab Token": (["glpat-"], []),
+    "Slack Token": (["xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"], []),
+    "Slack Webhook": (["https://hooks.slack.com/services/"], []),
+    "Google API Key": (["AIza"], []),
+    "Stripe Key": (["sk_live_", "sk_test_", "pk_live_", "pk_test_"], []),
+    "Private Key Block": (["PRIVATE KEY-----"], []),
+    "JWT": (["eyJ"], []),
+    "Generic API Key Assignment": ([], ["apikey", "api_key", "api-key"]),
+    "Generic Secret Assignment": ([], ["secret", "token"]),
+    "Hardcoded Password": ([], ["password"]),
+    "Twilio API Key": (["SK"], []),
+    "SendGrid API Key": (["SG."], []),
 }
+_NO_GATE = ([""], [])
 
 # The plain token pattern tries every "eyJ" of a long run and is quadratic. Within
 # one segment only the first "eyJ" can start a match, so each segment is entered at
@@ -43,54 +44,39 @@ _JWT_LINEAR = (
 )
 
 
-def _gate(name: str, text: Column, folded: Column) -> Column:
-    open_ = F.lit(False)
-    for literal in _GATES.get(name, [""]):
-        ignore_case = literal.startswith("=")
-        open_ = open_ | F.contains(folded if ignore_case else text, F.lit(literal.lstrip("=")))
-    return open_
-
-
-def _java(name: str, pattern: str) -> str:
-    return _JWT_LINEAR if name == "JWT" else to_java(pattern)
-
-
-def _candidate(name: str):
-    return lambda value, line: F.struct(
-        F.lit(name).alias("name"), value.alias("value"), line.alias("line")
-    )
+def _rule(name: str, pattern: str) -> dict:
+    as_written, any_case = _GATES.get(name, _NO_GATE)
+    return {
+        "name": name, "regex": _JWT_LINEAR if name == "JWT" else to_java(pattern),
+        "as_written": as_written, "any_case": any_case,
+    }
 
 
 def is_placeholder(value: Column) -> Column:
-    marked = F.lit(False)
-    for marker in rules.SECRET_PLACEHOLDERS:
-        marked = marked | F.contains(F.lower(value), F.lit(marker))
-    return marked
+    markers = rule_table([{"text": m} for m in rules.SECRET_PLACEHOLDERS], "text:string")
+    return F.exists(markers, lambda m: F.contains(F.lower(value), m["text"]))
 
 
 def secrets(text: Column, folded: Column, patterns: dict[str, str] | None = None) -> Column:
     """All matches of all patterns, in pattern order, placeholders dropped."""
-    candidate = "array<struct<name:string,value:string,line:int>>"
-    per_pattern = []
-    for name, pattern in (patterns or rules.SECRET_PATTERNS).items():
-        java = _java(name, pattern)
-        per_pattern.append(F.when(
-            _gate(name, text, folded),
-            F.zip_with(
-                F.regexp_extract_all(text, F.lit(java), F.lit(1)),
-                match_lines(text, java),
-                _candidate(name),
-            ),
-        ).otherwise(F.array()).cast(candidate))
-    real = F.filter(F.concat(*per_pattern), lambda c: ~is_placeholder(c["value"]))
-    return or_none(F.transform(
-        _first_per_value_and_line(real),
-        lambda c: finding(
-            "secrets", "critical", "secret",
-            F.concat(c["name"], F.lit(" detected: "), mask(c["value"])),
-            line=c["line"], points=rules.POINTS_SECRET,
-        ),
+    table = rule_table(
+        [_rule(name, pattern) for name, pattern in (patterns or rules.SECRET_PATTERNS).items()],
+        "name:string,regex:string,as_written:array<string>,any_case:array<string>",
+    )
+    possible = F.filter(table, lambda r: (
+        F.exists(r["as_written"], lambda literal: F.contains(text, literal))
+        | F.exists(r["any_case"], lambda literal: F.contains(folded, literal))
     ))
+    found = F.flatten(F.transform(possible, lambda r: F.zip_with(
+        F.regexp_extract_all(text, r["regex"], F.lit(1)),
+        match_lines(text, r["regex"]),
+        lambda value, line: F.struct(r["name"].alias("name"), value.alias("value"), line.alias("line")),
+    )))
+    real = F.filter(found, lambda c: ~is_placeholder(c["value"]))
+    return to_findings("secrets", F.transform(_first_per_value_and_line(real), lambda c: hit(
+        "secret", F.concat(c["name"], F.lit(" detected: "), mask(c["value"])),
+        line=c["line"], points=rules.POINTS_SECRET,
+    )), "critical")
 
 
 def _first_per_value_and_line(found: Column) -> Column:

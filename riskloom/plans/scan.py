@@ -6,13 +6,16 @@ array on the file's row until the score is known.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions import entropy as E
 from riskloom.functions import text as T
-from riskloom.functions.findings import capped_score, finding, no_findings, one_if, route_severity
+from riskloom.functions.findings import capped_score, hit, hits_if, no_findings, to_findings
 from riskloom.operators import dependencies as deps
 from riskloom.operators import encoding, patterns
 from riskloom.operators.dockerfile import dockerfile
@@ -29,27 +32,36 @@ def prepare(files: DataFrame, entropy_of: str = "candidates") -> DataFrame:
     detector reads. ``entropy_of="all"`` measures every file; by default only files
     whose entropy can exceed the limit are, and the others stay NULL.
     """
-    readable = F.when(F.col("size") <= rules.MAX_FILE_BYTES, F.col("content"))
-    probe = readable if entropy_of == "all" else F.when(E.may_have_high_entropy(readable), readable)
-    return (
-        files.withColumn("name", T.file_name(F.col("path")))
-        .withColumn("file_type", T.file_type(F.col("path")))
-        .withColumn("content", readable)
-        .withColumn("entropy", E.entropy(probe))
-        .withColumn("utf16", E.utf16_text(F.when(T.has_utf16_mark(F.col("content")), F.col("content"))))
-        .withColumn("is_binary", T.is_binary(F.col("content"), F.col("utf16")))
-        .withColumn("text", F.when(
-            ~F.col("is_binary"),
-            T.universal_newlines(F.coalesce(F.col("utf16"), T.decode_utf8(F.col("content")))),
-        ))
-        .drop("utf16", "content")
-        .withColumn("folded", T.fold(F.col("text")))
-        .withColumn("runs", encoding.base64_runs(F.col("text")))
+    content, utf16 = F.col("content"), F.col("utf16")
+    probe = content if entropy_of == "all" else F.when(E.may_have_high_entropy(content), content)
+    readable = files.withColumns({
+        "name": T.file_name(F.col("path")),
+        "file_type": T.file_type(F.col("path")),
+        "content": F.when(F.col("size") <= rules.MAX_FILE_BYTES, content),
+    })
+    decoded = readable.withColumn("plain", F.when(
+        ~T.has_utf16_mark(content) & ~T.is_binary(content),
+        T.universal_newlines(T.decode_utf8(content)),
+    ))
+    measured = decoded.withColumns({
+        "entropy": E.entropy(probe),
+        "utf16": E.utf16(F.when(T.has_utf16_mark(content), content)),
+        "runs": encoding.base64_runs(F.col("plain")),
+    }).drop("content")
+    text = measured.withColumn(
+        "text", F.coalesce(F.col("plain"), T.universal_newlines(utf16["text"]))
     )
+    return text.withColumns({
+        "is_binary": F.col("text").isNull(),
+        "runs": F.when(F.col("plain").isNull(), F.struct(
+            utf16["n"].alias("n"), utf16["first"].alias("first")
+        )).otherwise(F.col("runs")),
+        "folded": T.fold(F.col("text")),
+    }).drop("plain", "utf16")
 
 
-def text_findings() -> list[Column]:
-    """All detectors over the columns of :func:`prepare`, in report order."""
+@lru_cache(maxsize=1)
+def _text_findings(_context) -> list[Column]:
     text, folded = F.col("text"), F.col("folded")
     return [
         encoding.high_entropy(F.col("entropy")),
@@ -63,21 +75,27 @@ def text_findings() -> list[Column]:
     ]
 
 
+def text_findings() -> list[Column]:
+    """All detectors over the columns of :func:`prepare`, in report order. The
+    expressions depend on no data and are built once per Spark context."""
+    return _text_findings(SparkContext.getOrCreate())
+
+
 def oversize() -> Column:
-    return one_if(F.col("size") > rules.MAX_FILE_BYTES, finding(
-        "size", route_severity(F.lit("size"), "low"), "size",
-        f"File exceeds max size ({rules.MAX_FILE_MB}MB)",
-    ))
+    return to_findings("size", hits_if((
+        F.col("size") > rules.MAX_FILE_BYTES,
+        hit("size", f"File exceeds max size ({rules.MAX_FILE_MB}MB)"),
+    )))
 
 
 def read_errors(files: DataFrame) -> Column:
     """Sources may say in ``read_error`` why a file could not be read in full."""
     if "read_error" not in files.columns:
         return no_findings()
-    return one_if(F.col("read_error").isNotNull(), finding(
-        "error", route_severity(F.lit("error"), "low"), "error",
-        F.concat(F.lit("Error reading file: "), F.col("read_error")),
-    ))
+    return to_findings("error", hits_if((
+        F.col("read_error").isNotNull(),
+        hit("error", F.concat(F.lit("Error reading file: "), F.col("read_error"))),
+    )))
 
 
 RESULT_COLUMNS = [

@@ -40,12 +40,8 @@ def detector(findings: Callable[[], Column], source: Query = corpora.documents_w
 
 
 def base64_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shaped = F.filter(
-        F.regexp_extract_all(F.col("text"), F.lit(rules.BASE64_RUN), F.lit(0)),
-        lambda run: F.length(run) % 4 == 0,
-    )
     docs = prepare(corpora.documents_with_payloads(spark, sf_dir))
-    return docs.select("repo_id", "path", E.high_entropy_runs(shaped)["n"].alias("n"))
+    return docs.select("repo_id", "path", E.high_entropy_runs(encoding.base64_shaped(F.col("text")))["n"].alias("n"))
 
 
 def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
