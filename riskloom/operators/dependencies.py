@@ -12,6 +12,7 @@ from riskloom.functions.text import (
 )
 from riskloom.functions.versions import parse_version
 from riskloom.operators.joins import join_measured
+from riskloom.storage import materialize
 
 DEPENDENCIES = (
     "array<struct<ecosystem:string,package:string,pinned:string,"
@@ -171,8 +172,9 @@ def advisory_rows(parsed: DataFrame, advisories: DataFrame) -> DataFrame:
     """One finding per advisory of a pinned dependency.
 
     ``advisories``: ``ecosystem, package, introduced array<bigint>, fixed
-    array<bigint>, id, summary, details``; a NULL bound is open. Every manifest of the
-    corpus may pin the same package, hence the measured, salted join.
+    array<bigint>, id, summary, details``; a NULL bound is open. The corpus pins the
+    same versions over and over, so ranges are compared once per distinct version; the
+    pins then meet the result on plain equality, in the measured, salted join.
     """
     pins = (
         parsed.select("repo_id", "path", F.inline_outer("pins")).filter("package is not null")
@@ -180,22 +182,29 @@ def advisory_rows(parsed: DataFrame, advisories: DataFrame) -> DataFrame:
     affected = (F.col("introduced").isNull() | (F.col("version") >= F.col("introduced"))) & (
         F.col("fixed").isNull() | (F.col("version") < F.col("fixed"))
     )
-    matched = join_measured(
-        pins, advisories, ["ecosystem", "package"], "inner",
-        spread_by=["repo_id", "path", "ord"], residual=affected,
-    )
     text = F.coalesce(
         F.nullif(F.col("summary"), F.lit("")),
         F.nullif(F.left(F.col("details"), F.lit(120)), F.lit("")),
         F.lit("no summary available"),
     )
-    advisory = F.coalesce(F.col("id"), F.lit("unknown"))
+    versions = pins.select("ecosystem", "package", "pinned", "version").distinct()
+    by_version = materialize(join_measured(
+        versions, advisories, ["ecosystem", "package"], "inner",
+        spread_by=["pinned"], residual=affected,
+    ).select(
+        "ecosystem", "package", "pinned",
+        F.coalesce(F.col("id"), F.lit("unknown")).alias("advisory"), text.alias("text"),
+    ))
+    matched = join_measured(
+        pins, by_version, ["ecosystem", "package", "pinned"], "inner",
+        spread_by=["repo_id", "path", "ord"],
+    )
     description = F.concat(
         F.col("ecosystem"), F.lit(" package '"), F.col("package"), F.lit("' "), F.col("pinned"),
-        F.lit(": "), advisory, F.lit(" - "), text,
+        F.lit(": "), F.col("advisory"), F.lit(" - "), F.col("text"),
     )
     return matched.select(
-        "repo_id", "path", "ord", advisory.alias("advisory"),
+        "repo_id", "path", "ord", "advisory",
         _finding("advisory", "high", description, F.col("line"), rules.POINTS_ADVISORY).alias("finding"),
     )
 

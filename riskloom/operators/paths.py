@@ -12,6 +12,7 @@ from riskloom.functions.text import (
 )
 from riskloom.operators.joins import join_measured
 from riskloom.operators.topk import top_k
+from riskloom.storage import materialize
 
 
 def in_skipped_dir(path: Column) -> Column:
@@ -75,7 +76,10 @@ def mark_ignored(files: DataFrame, rules_by_repo: DataFrame, column: str = "igno
     """Adds a flag: the repository's globs match the relative path or the name."""
     joined = join_measured(files, rules_by_repo, ["repo_id"], "left", spread_by=["path"])
     pattern = F.col("ignore_regex")
-    hit = F.rlike(F.col("path"), pattern) | F.rlike(file_name(F.col("path")), pattern)
+    # unlike rlike, this keeps the compiled pattern from row to row of a repository
+    hit = (F.regexp_instr("path", pattern) > 0) | (
+        F.regexp_instr(file_name(F.col("path")), pattern) > 0
+    )
     return joined.withColumn(column, F.coalesce(hit, F.lit(False))).drop("ignore_regex")
 
 
@@ -92,7 +96,9 @@ def mark_beyond_cap(
         candidates.select("repo_id", "path"), ["repo_id"], [F.col("path")], limit,
         spread_by=["path"],
     )
-    last = ranked.filter(F.col("rank") == limit).select("repo_id", F.col("path").alias("last_path"))
+    last = materialize(
+        ranked.filter(F.col("rank") == limit).select("repo_id", F.col("path").alias("last_path"))
+    )
     joined = join_measured(files, last, ["repo_id"], "left", spread_by=["path"])
     beyond = F.col("last_path").isNotNull() & (F.col("path") > F.col("last_path"))
     return joined.withColumn(column, beyond).drop("last_path")
