@@ -1,4 +1,4 @@
-"""Times the headline queries: best of three warm runs each, one JSON line."""
+"""Times the headline queries: best of two runs each, one JSON line."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ HEADLINE = [
     "dockerfile", "ignore_anti", "quick_cap", "npm_floor", "pip_floor", "advisory",
     "pages_findings", "file_score", "all_findings", "repo_summary", "top50",
 ]
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:

@@ -13,7 +13,7 @@ NEVER = "(?!)"
 
 
 def _char(c: str) -> str:
-    return rf"\x{{{ord(c):x}}}"
+    return c if c.isascii() and c.isalnum() else rf"\x{{{ord(c):x}}}"
 
 
 def _char_set(body: str) -> str:

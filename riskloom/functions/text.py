@@ -50,7 +50,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body``
     uses it. An expression used twice inside a lambda is otherwise computed twice."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def is_ascii(text: Column) -> Column:

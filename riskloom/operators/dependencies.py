@@ -234,7 +234,7 @@ def dependency_results(parsed: DataFrame, advisories: DataFrame | None = None) -
     ))
     # collect_list drops NULL lists: manifests without a readable dependency
     grouped = rows.groupBy("repo_id").agg(F.flatten(F.collect_list(per_manifest)).alias("entries"))
-    found = F.transform(F.array_sort("entries"), lambda e: e["finding"])
+    found = F.transform(F.sort_array("entries"), lambda e: e["finding"])
     return (
         grouped.select("repo_id", F.coalesce(found.cast(FINDINGS), no_findings()).alias("findings"))
         .filter(F.size("findings") > 0)

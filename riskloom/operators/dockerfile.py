@@ -39,7 +39,7 @@ def _stages(lines: Column) -> Column:
     declared = F.transform(lines, lambda line, i: F.struct(
         F.lower(F.regexp_extract(line, FROM, 2)).alias("name"), i.alias("at")
     ))
-    return F.array_sort(F.filter(declared, lambda d: d["name"] != ""))
+    return F.sort_array(F.filter(declared, lambda d: d["name"] != ""))
 
 
 def _declared_before(stages: Column, name: Column, at: Column) -> Column:

@@ -82,7 +82,7 @@ def secrets(text: Column, folded: Column, patterns: dict[str, str] | None = None
 def _first_per_value_and_line(found: Column) -> Column:
     """Sorting by (line, value, position) puts repeats next to each other, so the test
     looks at one neighbour; the result is back in pattern order."""
-    ordered = F.array_sort(F.transform(found, lambda c, i: F.struct(
+    ordered = F.sort_array(F.transform(found, lambda c, i: F.struct(
         c["line"].alias("line"), c["value"].alias("value"),
         i.alias("pos"), c["name"].alias("name"),
     )))
@@ -93,7 +93,7 @@ def _first_per_value_and_line(found: Column) -> Column:
             return (i == 0) | (before["line"] != c["line"]) | (before["value"] != c["value"])
         return F.filter(sorted_, starts_group)
 
-    return F.array_sort(F.transform(let(ordered, firsts), lambda c: F.struct(
+    return F.sort_array(F.transform(let(ordered, firsts), lambda c: F.struct(
         c["pos"].alias("pos"), c["name"].alias("name"),
         c["value"].alias("value"), c["line"].alias("line"),
     )))

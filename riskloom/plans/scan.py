@@ -135,9 +135,11 @@ def scan_pass(files: DataFrame, mode: str = "balanced") -> DataFrame:
 
 def file_results(scanned: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     """File results of a scan pass, plus one ``dependencies`` row per repository with
-    vulnerable pins."""
+    vulnerable pins (stored, as a summary reads the results more than once)."""
     files = scanned.filter("selected").select(*RESULT_COLUMNS)
-    dependency_rows = deps.dependency_results(scanned.filter("floor_hits is not null"), advisories)
+    dependency_rows = materialize(
+        deps.dependency_results(scanned.filter("floor_hits is not null"), advisories)
+    )
     return files.unionByName(dependency_rows.select(
         "repo_id", "path", F.lit(0).cast("bigint").alias("size"),
         F.lit("unknown").alias("file_type"), F.lit(False).alias("is_binary"),

@@ -70,7 +70,7 @@ def _first_per_file(findings: Column, k: int) -> Column:
 
     def first(caution: bool) -> Column:
         one_kind = F.filter(keyed, lambda x: is_caution(x["f"]["severity"]) == F.lit(caution))
-        return F.slice(F.array_sort(one_kind), 1, k)
+        return F.slice(F.sort_array(one_kind), 1, k)
 
     return F.concat(first(False), first(True))
 
@@ -98,7 +98,7 @@ def ranked_lists(results: DataFrame, k: int = rules.REPORT_LIMIT) -> DataFrame:
         chosen = F.collect_list(F.when(
             F.col("is_caution") == F.lit(caution), F.struct("rank", item.alias("item"))
         ))
-        return F.transform(F.array_sort(chosen), lambda x: x["item"])
+        return F.transform(F.sort_array(chosen), lambda x: x["item"])
 
     return ranked_findings(results, k).groupBy("repo_id").agg(
         listed(False).alias("findings"), listed(True).alias("cautions"),

@@ -158,7 +158,7 @@ def pip_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = deps.manifests(corpora.manifests_from_lineitem(spark, sf_dir))
+    parsed = materialize(deps.manifests(corpora.manifests_from_lineitem(spark, sf_dir)))
     rows = deps.advisory_rows(parsed, corpora.advisories_from_part(spark, sf_dir))
     return rows.select(
         "repo_id", "path", "ord", "finding.severity", "finding.description", "finding.line", "finding.points"
@@ -166,7 +166,7 @@ def advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dep_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = deps.manifests(corpora.manifests_from_lineitem(spark, sf_dir))
+    parsed = materialize(deps.manifests(corpora.manifests_from_lineitem(spark, sf_dir)))
     rows = deps.dependency_results(parsed, corpora.advisories_from_part(spark, sf_dir))
     return rows.select(
         "repo_id", "path", capped_score(F.col("findings")).alias("risk_score"),

@@ -150,7 +150,7 @@ IGNORE_REGEXES = [
 
 def paths_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One path per line item over five repositories, each with an ignore file."""
-    items = read_table(spark, f"{sf_dir}/lineitem.parquet")
+    items = spread_small(read_table(spark, f"{sf_dir}/lineitem.parquet").select(*PATH_KEYS, "l_quantity"))
     folder = F.concat_ws("_", *[F.col(c).cast("string") for c in PATH_KEYS])
     path = F.concat_ws(
         "/", pick(DIRS, F.col("l_partkey")), folder, pick(NAMES, F.col("l_suppkey") + F.col("l_orderkey")),
@@ -269,7 +269,7 @@ def manifests_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read_table(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", *MANIFEST_KEYS)
     # an order holds a handful of line items
     orders = items.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(*MANIFEST_KEYS))).alias("items")
+        F.sort_array(F.collect_list(F.struct(*MANIFEST_KEYS))).alias("items")
     )
     order = F.col("l_orderkey")
     pip_text = F.array_join(F.transform("items", lambda x, i: _pip_line(order, x, i)), "\n")
