@@ -148,3 +148,17 @@ def pieces(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
         high = max(low + 1, int(np.searchsorted(places, places[low] + most_bytes, "right")) - 1)
         yield batch.slice(low, high - low)
         low = high
+
+
+def long_run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """As ``run_hashes``, in fewer steps: runs of runs."""
+    inner = max(i for i in range(1, int(size**0.5) + 1) if size % i == 0)
+    outer = size // inner
+    parts = run_hashes(hashes, inner)
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for i in range(outer):
+        total += parts[i * inner : i * inner + n] * _STEPS[i]
+    return mix(total)
