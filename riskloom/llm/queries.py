@@ -5,16 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.llm.digests import exact_groups
 from riskloom.llm.jaccard import jaccard_components
+from riskloom.llm.mixing import mix_sources
+from riskloom.llm.positional import contamination, phrase_matches
+from riskloom.llm.substrings import remaining, remove_repeats
+from riskloom.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The mix that the corpus aims at; sources belong to domains by their number.
+DOMAINS = ("web", "books", "forum")
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "forum": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
+MIX_EPOCHS, MIX_PERCENT, MIX_SEED = 2, 80, 17
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def domain_of_source():
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)", 1).try_cast("long") % 3
+    return F.when(number == 0, DOMAINS[0]).when(number == 1, DOMAINS[1]).otherwise(DOMAINS[2])
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mix_sources(
+        docs, domain=domain_of_source(), weights=MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED,
+        budget_percent=MIX_PERCENT,
+    )
+
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=5, similarity=75)
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=5, similarity=75)
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remaining(*remove_repeats(_table(spark, sf_dir, "documents"), least=50))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = phrase_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
+    return contamination(matches, percent=5).drop("spans", "items")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_jaccard": op2_jaccard,
+    "op3_substrings": op3_substrings,
+    "op4_mixing": op4_mixing,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_toxicity": op8_toxicity,
+    "op10_exact": op10_exact,
 }

@@ -42,13 +42,13 @@ def _noise(numbers: np.ndarray, seed: int) -> np.ndarray:
 _FACTORS = _noise(np.arange(_PLACES), 1 << 40) | np.uint64(1)
 
 
-def _factors(places: np.ndarray) -> np.ndarray:
+def factors(places: np.ndarray) -> np.ndarray:
     if len(places) and int(places.max()) >= _PLACES:
         return _noise(places, 1 << 40) | np.uint64(1)
     return _FACTORS.take(places)
 
 
-def _byte_values(is_word: np.ndarray, lower: bool) -> np.ndarray:
+def byte_values(is_word: np.ndarray, lower: bool) -> np.ndarray:
     values = _noise(np.arange(256), 1 << 20)
     if lower:
         values[0x41:0x5B] = values[0x61:0x7B]
@@ -102,7 +102,7 @@ def split_words(texts: pa.Array, is_word: np.ndarray, lower: bool) -> Words:
     starts = np.concatenate(found) if found else np.zeros(0, np.int64)
     hashes = np.zeros(len(starts), np.uint64)
     lengths = np.zeros(len(starts), np.int64)
-    values = _byte_values(is_word, lower)
+    values = byte_values(is_word, lower)
     for low in range(int(starts[0]) if len(starts) else end, end, BLOCK):
         high = min(low + BLOCK, end)
         own = slice(int(np.searchsorted(starts, low, "right")) - 1, int(np.searchsorted(starts, high)))
@@ -111,7 +111,7 @@ def split_words(texts: pa.Array, is_word: np.ndarray, lower: bool) -> Words:
         inside = is_word.take(block)
         place = np.arange(low, high) - np.repeat(starts[own], np.diff(np.append(here, high - low)))
         place[~inside] = 0
-        hashes[own] += np.add.reduceat(values.take(block) * _factors(place), here)
+        hashes[own] += np.add.reduceat(values.take(block) * factors(place), here)
         lengths[own] += np.add.reduceat(inside.astype(np.int64), here)
     hashes = mix(hashes + lengths.astype(np.uint64))
     return Words(data, starts, lengths, hashes, np.searchsorted(starts, places))
