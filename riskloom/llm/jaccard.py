@@ -15,8 +15,9 @@ matrix with its transpose is never formed whole:
 3. The rest accumulate their overlap over the full rows, which decides exactly.
 
 A group of copies never becomes all its pairs. Rows with equal sets are one row from the
-start. Then each column links its rows to two pivots only, and of all pairs of rows only
-those in different components are looked at afterwards; none of these is left out.
+start. Then each column joins its rows to two pivots only, each row is tested with the two that
+it shares most columns with, and of all other pairs those in different components are
+looked at afterwards; none of these is left out.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ from riskloom.storage import materialize
 
 #: Bytes of text that a Python worker holds as arrays at a time (a longer text is whole).
 PIECE = 4 << 20
-#: A column found so often in one batch of documents is a candidate for the last places
-#: of the order, which has room for so many. The order decides cost, never the result.
-LOCALLY_COMMON, COMMON_COLUMNS = 3, 200_000
+#: A column found so often among so many columns of consecutive documents is a candidate
+#: for the last places of the order, which has room for so many. The order decides cost,
+#: never the result.
+LOCALLY_COMMON, AMONG, COMMON_COLUMNS = 3, 4_000_000, 400_000
 #: Rows that a task remembers in order not to send an equal row twice.
 REMEMBERED = 200_000
 
@@ -75,17 +77,29 @@ ROWS_SCHEMA = (
 )
 
 
+def _common_columns(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """One row, of no document, with the columns that many of the ``sets`` hold."""
+    columns, times = np.unique(np.concatenate(sets), return_counts=True)
+    often = times >= LOCALLY_COMMON
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(as_long(columns[often])), pa.array(times[often])], ["column", "times"]
+    )
+    nothing = pa.array([None], pa.int64())
+    return pa.RecordBatch.from_arrays([
+        nothing, nothing.cast(pa.int32()), nothing, nothing, pa.array([None], pa.list_(pa.int64())),
+        pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs),
+    ], ["doc_id", "n", "set_a", "set_b", "bits", "common"])
+
+
 def _describe(width: int):
+    common_type = pa.list_(pa.struct([("column", pa.int64()), ("times", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
         for batch in batches:
             for piece in pieces(batch, 1, PIECE):
                 sets = list(_column_sets(piece.column(1), width))
-                columns, times = np.unique(np.concatenate(sets), return_counts=True)
-                often = times >= LOCALLY_COMMON
-                common = [
-                    {"column": c, "times": t}
-                    for c, t in zip(as_long(columns[often]).tolist(), times[often].tolist(), strict=True)
-                ]
                 names = [_identity(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": piece.column(0),
@@ -93,11 +107,17 @@ def _describe(width: int):
                     "set_a": pa.array([a for a, _ in names], pa.int64()),
                     "set_b": pa.array([b for _, b in names], pa.int64()),
                     "bits": pa.array([_bit_row(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    "common": pa.array(
-                        [common] + [None] * (len(sets) - 1),
-                        pa.list_(pa.struct([("column", pa.int64()), ("times", pa.int64())])),
-                    ),
+                    "common": pa.nulls(len(sets), common_type),
                 })
+                for name, columns in zip(names, sets, strict=True):  # a copy doesn't make a column common
+                    if len(columns) and name not in held:
+                        held[name] = columns
+                        size += len(columns)
+                if size >= AMONG:
+                    yield _common_columns(list(held.values()))
+                    held, size = {}, 0
+        if held:
+            yield _common_columns(list(held.values()))
 
     return run
 
@@ -219,10 +239,11 @@ def jaccard_components(
     spark = docs.sparkSession
     bounds = _Bounds(similarity)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(texts.mapInArrow(_describe(width), ROWS_SCHEMA))
+    described = materialize(texts.mapInArrow(_describe(width), ROWS_SCHEMA))
+    rows = described.where("n is not null")
 
     # rows with equal sets are one row of the matrix, under their smallest id
-    sets = rows.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("row_id"))
+    sets = materialize(rows.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("row_id")))
     named = materialize(
         rows.select("doc_id", "n", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left")
         .select("doc_id", "n", "row_id")
@@ -233,7 +254,7 @@ def jaccard_components(
     ).dropDuplicates(["doc_id", "bits"])
 
     common = (
-        rows.select(F.inline("common")).groupBy("column").agg(F.sum("times").alias("times"))
+        described.where("common is not null").select(F.inline("common")).groupBy("column").agg(F.sum("times").alias("times"))
         .orderBy(F.desc("times"), "column").limit(COMMON_COLUMNS).toPandas().sort_values(["times", "column"])
     )
     late = common["column"].to_numpy(np.int64).view(np.uint64)
@@ -253,11 +274,15 @@ def jaccard_components(
     )
 
     pivots = shared.groupBy("column").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    starred = shared.join(pivots, "column").select(
-        F.explode(F.array("low", "high")).alias("pivot"), "doc_id"
-    ).where("pivot <> doc_id")
+    # each row goes on with the lower and the higher pivot that it shares most columns with
+    starred = shared.join(pivots, "column").select("doc_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("low").alias("pivot")),
+        F.struct(F.lit(1).alias("side"), F.col("high").alias("pivot")),
+    ))).where("pivot <> doc_id")
+    overlaps = starred.groupBy("doc_id", "side", "pivot").agg(F.count("*").alias("overlap"))
+    best = overlaps.groupBy("doc_id", "side").agg(F.max(F.struct("overlap", "pivot"))["pivot"].alias("pivot"))
     tested = materialize(
-        starred.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+        best.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     )
     likely = materialize(_discard_by_bits(tested, matrix, bounds))
 
