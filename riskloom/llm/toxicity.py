@@ -353,9 +353,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3) -> np.ndarray:
     return beta
 
 
+def _likelihood_ratio(t: np.ndarray, m: np.ndarray, toxic: int, plain: int) -> np.ndarray:
+    """The G statistic of a mark in ``t`` of the toxic and ``m`` of the other documents."""
+    cells = [(t, toxic), (m, plain), (toxic - t, toxic), (plain - m, plain)]
+    held = (t + m) / (toxic + plain)
+    expected = [held, held, 1 - held, 1 - held]
+    terms = [n * np.log(np.maximum(n, 1e-9) / np.maximum(total * share, 1e-9)) for (n, total), share in zip(cells, expected, strict=True)]
+    return 2 * np.sum(terms, axis=0)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_marks: int = MOST_MARKS,
-    least_documents: int = 8, least_kinds: int = 5,
+    least_documents: int = 4, least_kinds: int = 4,
 ) -> ToxicityModel:
     """The model. The language model reads all of ``docs`` (``doc_id, text``); the score
     is fitted on at most ``most_labels`` rows of ``labels`` (``doc_id, toxic``).
@@ -385,8 +394,8 @@ def fit_toxicity(
     both = toxic.merge(plain, how="left", on="mark").fillna({"m": 0})
     t, m = both["n"].to_numpy(float), both["m"].to_numpy(float)
     odds = np.log((t + 0.5) / (totals[1] - t + 0.5)) - np.log((m + 0.5) / (totals[0] - m + 0.5))
-    sure = odds / np.sqrt(1 / (t + 0.5) + 1 / (m + 0.5))
-    both = both.assign(odds=odds, sure=sure)[(sure > 5) & (odds > 1.5)].nlargest(most_marks, "sure")
+    sure = _likelihood_ratio(t, m, totals[1], totals[0])
+    both = both.assign(odds=odds, sure=sure)[(sure > 30) & (odds > 1.5)].nlargest(most_marks, "sure")
     hashes = both["mark"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model.marks, model.weights = hashes[order], both["odds"].to_numpy()[order]
