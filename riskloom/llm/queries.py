@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.chat import chat_digests, format_chats
 from riskloom.llm.digests import exact_groups
 from riskloom.llm.jaccard import jaccard_components
+from riskloom.llm.lengths import TOKENIZER, length_histogram, suffix_sums, token_counter
+from riskloom.llm.lines import fuzzy_lines
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.positional import contamination, phrase_matches
 from riskloom.llm.substrings import remaining, remove_repeats
 from riskloom.llm.toxicity import toxicity_scores
+from riskloom.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +25,13 @@ DOMAINS = ("web", "books", "forum")
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "forum": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
 MIX_EPOCHS, MIX_PERCENT, MIX_SEED = 2, 80, 17
 
+URL_RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"),
+)
+#: A conversation whose texts hold control strings, formatted besides those of the table.
+HARD_CHAT = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +49,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counter = token_counter(spark, TOKENIZER)
+    return suffix_sums(length_histogram(_table(spark, sf_dir, "documents"), counter))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=5, similarity=75)
 
@@ -50,24 +66,43 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(_table(spark, sf_dir, "documents"), distance=3, blocks=5, percent=90)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = phrase_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
     return contamination(matches, percent=5).drop("spans", "items")
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    hard = spark.createDataFrame(HARD_CHAT, "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select(*columns).unionByName(hard)
+    return chat_digests(format_chats(turns))
+
+
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lengths": op1_lengths,
     "op2_jaccard": op2_jaccard,
     "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
+    "op5_lines": op5_lines,
     "op6_decontaminate": op6_decontaminate,
+    "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
+    "op9_chat": op9_chat,
     "op10_exact": op10_exact,
 }
