@@ -59,9 +59,13 @@ AS_LETTER, AS_ITSELF, HELD_ONE, HELD_TWO, HELD_AS_IS, DOUBLE_AS_ONE, DROPPED, KE
 
 _SIGN = r"(?:[^\W_]|[@$!|+])"
 _APART = re.compile(rf"(?<![\w@$!|+])(?:{_SIGN}[ .\-_*~]){{3,}}{_SIGN}(?![\w@$!|+])")
-_TOKEN = re.compile(rf"{_SIGN}+")
-_LEET = re.compile(r"[0-9@$!|+]")
-_HELD = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
+#: In a token that may be disguised: a sign of leetspeak, or a letter held.
+_HINT = re.compile(r"[0-9@$!|+]|([^\W\d_])\1\1", re.IGNORECASE)
+
+
+def _is_sign(c: str) -> bool:
+    return c.isalnum() or c in "@$!|+"
+
 
 
 # -- the language model -------------------------------------------------------------------
@@ -166,16 +170,26 @@ class Restorer:
         signs = match[0][::2].lower()
         return match[0] if len(signs) > LONGEST or len(set(signs)) < 3 else self.span(match[0])
 
-    def _token(self, match: re.Match) -> str:
-        token = match[0].rstrip("@$!|+")
-        if len(token) < 3 or len(token) > LONGEST or not any(c.isalpha() for c in token):
-            return match[0]
-        if not (_LEET.search(token) or _HELD.search(token)):
-            return match[0]
-        return self.span(token) + match[0][len(token) :]
+    def _token(self, token: str) -> str:
+        core = token.rstrip("@$!|+")
+        if len(core) < 3 or len(core) > LONGEST or not any(c.isalpha() for c in core) or not _HINT.search(core):
+            return token
+        return self.span(core) + token[len(core) :]
 
     def text(self, text: str) -> str:
-        return _TOKEN.sub(self._token, _APART.sub(self._apart, text))
+        text = _APART.sub(self._apart, text)
+        out, done = [], 0
+        for hint in _HINT.finditer(text):
+            low, high = hint.span()
+            if low < done:
+                continue
+            while low > done and _is_sign(text[low - 1]):
+                low -= 1
+            while high < len(text) and _is_sign(text[high]):
+                high += 1
+            out += [text[done:low], self._token(text[low:high])]
+            done = high
+        return "".join(out) + text[done:]
 
 
 _IS_LETTER = np.zeros(256, bool)
@@ -201,14 +215,14 @@ def _maybe_disguised(texts: pa.Array) -> np.ndarray:
     hints.append(np.flatnonzero(letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])))
     wide = (b[4:] == b[2:-2]) & (b[2:-2] == b[:-4]) & (b[4:] >= 0x80)
     hints.append(np.flatnonzero(wide[:-1] & wide[1:]))
-    for width in (1, 2):  # of the letters set apart, in bytes
+    for width, opens in ((1, sign), (2, b >= 0xC2)):  # of the letters set apart, in bytes
         step = width + 1
         n = len(b) - 3 * step
         if n > 0:
-            apart = gap[width : width + n] & sign[step : step + n]
-            for i in (1, 2):
-                apart &= gap[i * step + width :][:n] & sign[(i + 1) * step :][:n]
-            hints.append(np.flatnonzero(apart & sign[:n]))
+            apart = opens[:n].copy()
+            for i in range(3):
+                apart &= gap[i * step + width :][:n] & opens[(i + 1) * step :][:n]
+            hints.append(np.flatnonzero(apart))
     rows = np.searchsorted(places - low, np.concatenate(hints), "right") - 1
     return np.unique(rows[(rows >= 0) & (rows < len(texts))])
 
