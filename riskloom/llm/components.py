@@ -11,7 +11,8 @@ from riskloom.storage import materialize
 def _large_stars(edges: DataFrame) -> DataFrame:
     """Every node sends its larger neighbours to the least of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    # stored, so that the join has plain shuffles on both sides, which Spark can split
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
     return both.join(least, "a").where("b > a").select(F.col("root").alias("a"), "b").where("a < b").distinct()
 
 

@@ -167,7 +167,8 @@ def _shared_runs(described: DataFrame) -> DataFrame:
     """The contexts whose anchor occurs in several documents."""
     runs = described.where("doc_id is not null").select("doc_id", "key", F.inline("runs"))
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return materialize(runs.join(shared.select("anchor"), "anchor"))
+    # stored, so that the join has plain shuffles on both sides, which Spark can split
+    return materialize(runs.join(materialize(shared.select("anchor")), "anchor"))
 
 
 def _matches(runs: DataFrame) -> DataFrame:
@@ -177,9 +178,9 @@ def _matches(runs: DataFrame) -> DataFrame:
         runs.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     )
     several = groups.groupBy("anchor").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
-    several = several.select("anchor", F.lit(True).alias("open"))
+    several = materialize(several.select("anchor", F.lit(True).alias("open")))
     known = groups.join(several, "anchor", "left").where("open or first < last")
-    joined = runs.join(known, ["anchor", "context"])
+    joined = runs.join(materialize(known), ["anchor", "context"])
     span = F.struct("low", "high")
     return joined.groupBy("doc_id", "key").agg(
         F.collect_list(F.when(F.col("doc_id") > F.col("first"), span)).cast(_SPANS).alias("whole"),
@@ -213,7 +214,9 @@ def remove_repeats(
     )
     extended = materialize(extended.withColumn("row", F.monotonically_increasing_id()))
     runs = extended.select("row", "doc_id", F.inline(F.arrays_zip("places", "hashes")).alias("place", "hash"))
-    first = runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = materialize(
+        runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    )
     starts = (
         runs.join(first, "hash").where("doc_id > first")
         .groupBy("row").agg(F.collect_list("place").alias("starts"))
