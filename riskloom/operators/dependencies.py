@@ -44,8 +44,15 @@ def _dependency(ecosystem, package, pinned, line, i) -> Column:
 
 def npm_dependencies(text: Column) -> Column:
     """The ``dependencies`` object, in key order. Lines are looked up only for what is
-    reported, as each lookup reads the text."""
-    entries = F.map_entries(F.from_json(text, "dependencies map<string,string>")["dependencies"])
+    reported, as each lookup reads the text. A text that is not one strict JSON object,
+    and nothing after it, has none: read as the only element of a list, it may not be
+    followed by anything."""
+    listed = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), "array<struct<dependencies: map<string,string>>>",
+        {"allowSingleQuotes": "false"},
+    )
+    whole = (F.size(listed) == 1) & F.rlike(text, F.lit(r"\}[ \t\r\n]*+$"))
+    entries = F.map_entries(F.when(whole, F.get(listed, F.lit(0))["dependencies"]))
     return F.transform(entries, lambda e, i: _dependency(
         rules.NPM, e["key"], F.ltrim(e["value"], F.lit("^~=")), F.lit(None), i,
     )).cast(DEPENDENCIES)
@@ -124,15 +131,13 @@ def floor_findings(dependencies: Column, text: Column, floors=None) -> Column:
 
 
 def advisory_pins(dependencies: Column, text: Column) -> Column:
-    """The first 50 dependencies of a manifest with a readable version, with lines."""
+    """The dependencies of a manifest with a readable version, with lines."""
     pinned = F.filter(dependencies, lambda d: d["version"].isNotNull())
-    return F.transform(
-        F.slice(pinned, 1, rules.ADVISORY_PINS_PER_MANIFEST), lambda d: F.struct(
-            d["ecosystem"].alias("ecosystem"), d["package"].alias("package"),
-            d["pinned"].alias("pinned"), d["version"].alias("version"),
-            _line(d, text).alias("line"), d["ord"].alias("ord"),
-        )
-    )
+    return F.transform(pinned, lambda d: F.struct(
+        d["ecosystem"].alias("ecosystem"), d["package"].alias("package"),
+        d["pinned"].alias("pinned"), d["version"].alias("version"),
+        _line(d, text).alias("line"), d["ord"].alias("ord"),
+    ))
 
 
 def with_dependencies(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from riskloom.functions.findings import hit, hits_if, to_findings, total_points
 from riskloom.functions.text import NOT_SPACE as N
 from riskloom.functions.text import SPACE as S
 from riskloom.functions.text import WORD as W
-from riskloom.functions.text import WORD_END, let
+from riskloom.functions.text import WORD_END, fold, let
 
 # What each instruction check accepts.
 _I = "(?idU)"
@@ -20,14 +20,15 @@ USER_ROOT = rf"{_I}^{S}*USER{S}+(?:root|0){WORD_END}"
 # Possessive flags on a line without trailing space: same source as with
 # backtracking, but thousands of flags cannot exhaust the stack.
 ADD = rf"{_I}^{S}*ADD{S}+(?:--{N}+{S}+)*+({N}+)"
-PIPE_TO_SHELL = rf"{_I}(?:curl|wget){S}+.{{0,500}}\|{S}*(?:sudo{S}+)?(?:sh|bash){WORD_END}"
-INSECURE_TLS = rf"{_I}--no-check-certificate|curl{S}+.{{0,500}}(?:-k{WORD_END}|--insecure)"
+PIPE_TO_SHELL = rf"{_I}(?:curl|wget){S}++.{{0,500}}\|{S}*(?:sudo{S}+)?(?:sh|bash){WORD_END}"
+INSECURE_TLS = rf"{_I}--no-check-certificate|curl{S}++.{{0,500}}(?:-k{WORD_END}|--insecure)"
 ENV_ARG = rf"{_I}^{S}*(?:ENV|ARG){S}+(.*)$"
 HARDCODED_SECRET = (
     rf"{_I}(?:PASSWORD|SECRET|TOKEN|API_KEY){W}{{0,64}}"
     rf"(?:{S}{{0,16}}={S}{{0,16}}|{S}{{1,16}})({N}{{8,}})"
 )
-_TRAILING_SPACE = rf"(?U){S}++$"
+# tried once for each run of spaces, not at every space of it
+_TRAILING_SPACE = rf"(?U)(?<!{S}){S}++$"
 
 
 def is_dockerfile(name: Column) -> Column:
@@ -69,6 +70,15 @@ def _unpinned(image: Column) -> Column:
     )
 
 
+def _has(line: Column, *literals: str) -> Column:
+    """Does the folded line hold one of the literals? A regex that needs one of them
+    runs only then."""
+    found = F.lit(False)
+    for literal in literals:
+        found = found | F.contains(line, F.lit(literal))
+    return found
+
+
 def _copy_would_do(line: Column) -> Column:
     source = F.regexp_extract(F.regexp_replace(line, _TRAILING_SPACE, ""), ADD, 1)
 
@@ -81,8 +91,8 @@ def _copy_would_do(line: Column) -> Column:
     return let(source, plain)
 
 
-def _line_hits(line: Column, i: Column, stages: Column) -> Column:
-    image = F.regexp_extract(line, FROM, 1)
+def _line_hits(line: Column, low: Column, i: Column, stages: Column) -> Column:
+    image = F.when(_has(low, "from"), F.regexp_extract(line, FROM, 1)).otherwise("")
 
     def report(condition, category, description, points=0):
         return condition, hit(f"dockerfile_{category}", description, line=i + 1, points=points)
@@ -93,14 +103,14 @@ def _line_hits(line: Column, i: Column, stages: Column) -> Column:
             "unpinned_base_image",
             F.concat(F.lit("Base image not pinned to a specific version: "), image),
         ),
-        report(line.rlike(USER_ROOT), "root_user", "Explicitly runs as root", rules.POINTS_ROOT_USER),
-        report(_copy_would_do(line), "add_vs_copy",
+        report(_has(low, "user") & line.rlike(USER_ROOT), "root_user", "Explicitly runs as root", rules.POINTS_ROOT_USER),
+        report(_has(low, "add") & _copy_would_do(line), "add_vs_copy",
                "ADD used where COPY would suffice (no auto-extraction/URL fetch needed)"),
-        report(line.rlike(PIPE_TO_SHELL), "pipe_to_shell",
+        report(_has(low, "curl", "wget") & line.rlike(PIPE_TO_SHELL), "pipe_to_shell",
                "Pipes a remote download directly into a shell", rules.POINTS_PIPE_TO_SHELL),
-        report(line.rlike(INSECURE_TLS), "insecure_tls",
+        report(_has(low, "curl", "--no-check-certificate") & line.rlike(INSECURE_TLS), "insecure_tls",
                "Disables TLS certificate verification", rules.POINTS_INSECURE_TLS),
-        report(F.regexp_extract(line, ENV_ARG, 1).rlike(HARDCODED_SECRET), "hardcoded_secret",
+        report(_has(low, "env", "arg") & F.regexp_extract(line, ENV_ARG, 1).rlike(HARDCODED_SECRET), "hardcoded_secret",
                "Hardcoded credential in ENV/ARG instruction", rules.POINTS_HARDCODED_SECRET),
     )
 
@@ -111,7 +121,7 @@ def dockerfile(text: Column, name: Column) -> Column:
 
     def scan(lines):
         per_line = let(_stages(lines), lambda stages: F.flatten(
-            F.transform(lines, lambda line, i: _line_hits(line, i, stages))
+            F.transform(lines, lambda line, i: let(fold(line), lambda low: _line_hits(line, low, i, stages)))
         ))
         no_user = hits_if((
             ~F.exists(lines, lambda line: line.rlike(USER)),

@@ -35,8 +35,9 @@ def skipped_name(path: Column) -> Column:
     return skipped
 
 
-def wanted(mode: str = "balanced") -> Column:
-    """Path, link and size filters over the ``files`` columns. Only ``quick`` differs."""
+def wanted(mode: str = "balanced", quick_bytes: int = rules.QUICK_MAX_BYTES) -> Column:
+    """Path, link and size filters over the ``files`` columns. Only ``quick`` differs: it
+    leaves out files of more than ``quick_bytes``."""
     if mode not in rules.SCAN_MODES:
         raise ValueError(f"unknown scan mode {mode!r}, use one of {', '.join(rules.SCAN_MODES)}")
     path = F.col("path")
@@ -45,7 +46,7 @@ def wanted(mode: str = "balanced") -> Column:
         & ~in_skipped_dir(path) & ~skipped_extension(path) & ~skipped_name(path)
         & F.col("size").isNotNull()
     )
-    return keep & (F.col("size") <= rules.QUICK_MAX_BYTES) if mode == "quick" else keep
+    return keep & (F.col("size") <= quick_bytes) if mode == "quick" else keep
 
 
 def ignore_globs(content: Column) -> Column:
@@ -54,7 +55,7 @@ def ignore_globs(content: Column) -> Column:
     line_end = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
     lines = F.split(universal_newlines(decode_utf8(content)), line_end)
     kept = F.filter(lines, lambda line: ~line.startswith("#"))
-    edges = rf"(?U)^{SPACE}+|{SPACE}+$"
+    edges = rf"(?U)^{SPACE}++|(?<!{SPACE}){SPACE}++$"
     stripped = F.transform(kept, lambda line: F.regexp_replace(line, edges, ""))
     return F.filter(stripped, lambda line: line != "")
 
@@ -62,7 +63,7 @@ def ignore_globs(content: Column) -> Column:
 def ignore_lists(files: DataFrame) -> DataFrame:
     """``(repo_id, globs)``: one row per repository with a root ignore file."""
     return (
-        files.filter((F.col("path") == rules.IGNORE_FILE) & ~F.col("is_symlink"))
+        files.filter((F.col("path") == rules.IGNORE_FILE) & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
         .select("repo_id", ignore_globs(F.col("content")).alias("globs"))
     )
 
@@ -104,11 +105,17 @@ def mark_beyond_cap(
     return joined.withColumn(column, beyond).drop("last_path")
 
 
-def select_files(files: DataFrame, mode: str = "balanced") -> DataFrame:
-    """``files`` plus ``selected``: does the scan of this mode read the file?"""
-    marked = mark_ignored(files, ignore_rules(ignore_lists(files)))
-    marked = marked.withColumn("selected", wanted(mode) & ~F.col("ignored")).drop("ignored")
+def select_files(
+    files: DataFrame, mode: str = "balanced", quick_bytes: int = rules.QUICK_MAX_BYTES,
+    quick_files: int = rules.QUICK_MAX_FILES,
+) -> DataFrame:
+    """``files`` plus ``selected``: does the scan of this mode read the file?
+
+    The ignore rules are stored once; measuring, joining and ranking read that small
+    table and the listing, never contents."""
+    marked = mark_ignored(files, materialize(ignore_rules(ignore_lists(files))))
+    marked = marked.withColumn("selected", wanted(mode, quick_bytes) & ~F.col("ignored")).drop("ignored")
     if mode != "quick":
         return marked
-    capped = mark_beyond_cap(marked, marked.filter("selected"))
+    capped = mark_beyond_cap(marked, marked.filter("selected"), quick_files)
     return capped.withColumn("selected", F.col("selected") & ~F.col("beyond_cap")).drop("beyond_cap")

@@ -24,20 +24,20 @@ from riskloom.operators.secrets import secrets
 from riskloom.storage import materialize
 
 
-def prepare(files: DataFrame, entropy_of: str = "candidates") -> DataFrame:
+def prepare(files: DataFrame, entropy_of: str = "all", max_bytes: int | None = None) -> DataFrame:
     """Classify and decode: adds ``name, file_type, is_binary, entropy, text, folded,
     runs``.
 
-    ``text`` is NULL for binary files and for files over the size cap, which no
-    detector reads. ``entropy_of="all"`` measures every file; by default only files
-    whose entropy can exceed the limit are, and the others stay NULL.
+    ``text`` is NULL for binary files, and for files over ``max_bytes`` if that is
+    given, which no detector reads then. ``entropy_of="candidates"`` measures only files
+    whose entropy can exceed the limit; the others stay NULL.
     """
     content, utf16 = F.col("content"), F.col("utf16")
     probe = content if entropy_of == "all" else F.when(E.may_have_high_entropy(content), content)
     readable = files.withColumns({
         "name": T.file_name(F.col("path")),
         "file_type": T.file_type(F.col("path")),
-        "content": F.when(F.col("size") <= rules.MAX_FILE_BYTES, content),
+        "content": content if max_bytes is None else F.when(F.col("size") <= max_bytes, content),
     })
     decoded = readable.withColumn("plain", F.when(
         ~T.has_utf16_mark(content) & ~T.is_binary(content),
@@ -103,20 +103,23 @@ RESULT_COLUMNS = [
 ]
 
 
-def analyze(files: DataFrame, entropy_of: str = "candidates", keep: list[str] | None = None) -> DataFrame:
+def analyze(
+    files: DataFrame, entropy_of: str = "all", keep: list[str] | None = None, max_bytes: int | None = None,
+) -> DataFrame:
     """One result per file (``RESULT_COLUMNS``, plus the columns in ``keep``). Files of
-    unknown size are dropped."""
-    prepared = prepare(files.filter(F.col("size").isNotNull()), entropy_of)
+    unknown size are dropped. Files over 50 MB get a note; their content is read like
+    any other unless ``max_bytes`` says from which size on it is not."""
+    prepared = prepare(files.filter(F.col("size").isNotNull()), entropy_of, max_bytes)
     found = F.concat(oversize(), *text_findings(), read_errors(files))
-    too_big = F.col("size") > rules.MAX_FILE_BYTES
+    unread = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     return prepared.select(
         "repo_id", "path", "size", "file_type",
-        (F.col("is_binary") & ~too_big).alias("is_binary"),
+        (F.col("is_binary") & ~unread).alias("is_binary"),
         "entropy", found.alias("findings"), *(keep or []),
     ).withColumn("risk_score", capped_score(F.col("findings"))).select(*RESULT_COLUMNS, *(keep or []))
 
 
-def scan_pass(files: DataFrame, mode: str = "balanced") -> DataFrame:
+def scan_pass(files: DataFrame, mode: str = "balanced", max_bytes: int | None = None) -> DataFrame:
     """Everything that needs file contents, in one narrow pass over the files.
 
     Manifests are parsed whether or not the file filters keep them; ``selected`` says
@@ -130,7 +133,7 @@ def scan_pass(files: DataFrame, mode: str = "balanced") -> DataFrame:
         .withColumn("content", F.when(F.col("selected"), F.col("content")))
     )
     parsed = deps.with_dependencies(rows)
-    return analyze(parsed, keep=["selected", "floor_hits", "pins"])
+    return analyze(parsed, keep=["selected", "floor_hits", "pins"], max_bytes=max_bytes)
 
 
 def file_results(scanned: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
@@ -150,7 +153,8 @@ def file_results(scanned: DataFrame, advisories: DataFrame | None = None) -> Dat
 
 def scan(
     files: DataFrame, mode: str = "balanced", advisories: DataFrame | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Scan a corpus. The pass over the contents is written to the shared folder once;
     summaries and reports then read only its small result rows."""
-    return file_results(materialize(scan_pass(files, mode)), advisories)
+    return file_results(materialize(scan_pass(files, mode, max_bytes)), advisories)

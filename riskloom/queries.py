@@ -20,7 +20,8 @@ from riskloom.plans import reports, summary
 from riskloom.plans.scan import analyze, prepare, scan
 from riskloom.sources import corpora
 from riskloom.sources.tables import read_table, spread_small
-from riskloom.storage import materialize, shared_folder
+from riskloom.sources.trees import expand_archives
+from riskloom.storage import materialize, store
 from riskloom.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,26 +286,109 @@ def sarif_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports -------------------------------------------------------------------
 
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sarif_rule_rows(_summary(spark, sf_dir))
+    """One rule per category, over all findings."""
+    return reports.rule_rows(scanned_corpus(spark, sf_dir))
+
+
+def findings_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.export_rows(scanned_corpus(spark, sf_dir))
 
 
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.csv_rows(_summary(spark, sf_dir))
+    """The columns of a CSV report, over all findings."""
+    return findings_export(spark, sf_dir).select(
+        "repo_id", "position", "File", "Line", "Severity", "Category", "Description"
+    )
+
+
+SARIF_SCHEMA = (
+    "runs array<struct<results: array<struct<ruleId: string, level: string, message: struct<text: string>, "
+    "locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, "
+    "region: struct<startLine: int>>>>>>>>"
+)
 
 
 def sarif_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sarif_logs(_summary(spark, sf_dir))
+    """The logs, read back from their text."""
+    logs = reports.sarif_logs(_summary(spark, sf_dir)).select("repo_id", F.from_json("report", SARIF_SCHEMA).alias("log"))
+    results = logs.select("repo_id", F.posexplode_outer(F.col("log.runs")[0]["results"]).alias("position", "r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return results.filter("r is not null").select(
+        "repo_id", "position", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
+        F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("uri"),
+        place["region"]["startLine"].alias("line"),
+    )
+
+
+JSON_ENTRY = "array<struct<file: string, severity: string, category: string, description: string, line: int>>"
+JSON_SCHEMA = (
+    "repo_name string, repo_url string, total_files bigint, overall_risk_score double, risk_level string, "
+    f"findings_count bigint, cautions_count bigint, findings {JSON_ENTRY}, cautions {JSON_ENTRY}"
+)
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.json_reports(_summary(spark, sf_dir))
+    """The reports, read back from their text."""
+    url = F.concat(F.lit("https://git.example.com/"), F.col("repo_id"))
+    texts = reports.json_reports(_summary(spark, sf_dir), repo_url=url)
+    parsed = texts.select(F.from_json("report", JSON_SCHEMA).alias("r")).select("r.*")
+    listed = F.concat("findings", "cautions")
+    return parsed.select(
+        F.col("repo_name").alias("repo_id"), "repo_url", "total_files", "overall_risk_score", "risk_level",
+        "findings_count", "cautions_count", F.posexplode_outer(listed).alias("position", "f"),
+    ).select("*", "f.*").drop("f")
+
+
+# --- branches that plain data does not reach ------------------------------------
+
+def oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that claim more than 50 MB: noted, and scanned all the same unless the
+    caller sets a cap."""
+    files = corpora.documents_with_payloads(spark, sf_dir)
+    big = files.withColumn("size", F.when(F.char_length("path") % 3 == 0, F.col("size") + rules.MAX_FILE_BYTES).otherwise(F.col("size")))
+    modes = {"whole": analyze(big), "capped": analyze(big, max_bytes=rules.MAX_FILE_BYTES)}
+    noted = F.exists("findings", lambda f: f["category"] == "size")
+    tables = [t.select(F.lit(m).alias("mode"), "repo_id", "path", "risk_score", noted.alias("noted")) for m, t in modes.items()]
+    return tables[0].union(tables[1])
+
+
+def high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of 2 KB of digests beside plain texts."""
+    docs = spread_small(read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    digest = lambda i: F.unhex(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(i))).cast("binary"), 256))
+    noise = F.concat(*(digest(i) for i in range(64)))
+    files = docs.select(
+        F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.lit(2048).cast("bigint").alias("size"),
+        F.lit(False).alias("is_symlink"), F.when(F.col("doc_id") % 2 == 0, noise).otherwise(F.encode("text", "UTF-8")).alias("content"),
+    )
+    found = summary.finding_rows(analyze(files)).filter("detector = 'entropy' or description like 'High entropy%'")
+    return found.select("repo_id", "path", "severity", "category", "points")
+
+
+def read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some files could not be read."""
+    files = corpora.documents_with_payloads(spark, sf_dir)
+    lost = F.char_length("path") % 2 == 0
+    files = files.withColumn("content", F.when(~lost, F.col("content"))).withColumn(
+        "read_error", F.when(lost, F.lit("Permission denied"))
+    )
+    found = summary.finding_rows(analyze(files)).filter("category = 'error'")
+    return found.select("repo_id", "path", "severity", "description", "points")
+
+
+def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives packed from the documents, some cut off."""
+    files = expand_archives(corpora.archives_from_documents(spark, sf_dir))
+    return files.select(
+        "repo_id", "path", "size", F.sha2("content", 256).alias("sha256"), F.col("read_error").isNotNull().alias("failed")
+    )
 
 
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of arriving files, scored and appended to a table."""
-    files = materialize(corpora.documents_with_payloads(spark, sf_dir))
-    folder = f"{shared_folder(spark)}/riskloom/stream/{spark.sparkContext.applicationId}/{files.inputFiles()[0].split('/')[-2]}"
-    results = arrivals.scan_arrivals(arrivals.read_arrivals(spark, files.inputFiles()[0].rsplit("/", 1)[0]))
+    arrived = store(corpora.documents_with_payloads(spark, sf_dir))
+    folder = f"{arrived}-stream"
+    results = arrivals.scan_arrivals(arrivals.read_arrivals(spark, arrived))
     arrivals.write_results(results, f"{folder}/results", f"{folder}/checkpoint").awaitTermination()
     return _scores(spark.read.schema(results.schema).parquet(f"{folder}/results"))
 
@@ -356,6 +440,11 @@ QUERIES: dict[str, Query] = {
     "sarif_uri": sarif_uri,
     "sarif_rules": sarif_rules,
     "csv_rows": csv_rows,
+    "findings_export": findings_export,
+    "oversize": oversize,
+    "high_entropy": high_entropy,
+    "read_errors": read_errors,
+    "read_archives": read_archives,
     "sarif_log": sarif_log,
     "json_report": json_report,
     "stream_scan": stream_scan,

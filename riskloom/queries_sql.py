@@ -306,9 +306,7 @@ floor_hits AS (
 
 FLOORS = _floor_rows()
 ADVISORY = f"""pins AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY ord) AS r FROM deps WHERE version IS NOT NULL)
-  WHERE r <= {rules.ADVISORY_PINS_PER_MANIFEST}
+  SELECT * FROM deps WHERE version IS NOT NULL
 ),
 advisory_hits AS (
   SELECT p.repo_id, p.path, p.ord, a.id AS advisory, 'high' AS severity,
@@ -390,6 +388,10 @@ def _sarif_level(severity: str) -> str:
     return label(severity, rules.SARIF_LEVELS)
 
 
+LISTED_ALL = """listed_all AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY is_caution, rank) - 1 AS position FROM ranked
+)"""
+
 _SCORE = "(o_totalprice % 13000 / 100)"
 _SAMPLE = "regexp_extract_all(left(hex(encode(html)), 1024), '..')"
 
@@ -482,14 +484,42 @@ FROM supplier""",
     "sarif_uri": """
 SELECT o_orderkey, (['src/', 'src/lib/', '/etc/', '/tmp/clone10/', 'pkg/'])[o_orderkey % 5 + 1] || o_orderpriority AS uri
 FROM orders""",
-    "sarif_rules": sql(*FULL, RANKED, LISTED, select=f"""
+    "sarif_rules": sql(*FULL, RANKED, LISTED_ALL, select=f"""
 SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY first_seen) - 1 AS position, rule_id,
   (['note', 'warning', 'error'])[worst + 1] AS level
 FROM (SELECT repo_id, category AS rule_id, min(position) AS first_seen,
         max(CASE {_sarif_level('severity')} WHEN 'note' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS worst
-      FROM listed GROUP BY repo_id, category)"""),
-    "csv_rows": sql(*FULL, RANKED, LISTED, select="""
-SELECT repo_id, position, path AS "File", line AS "Line", severity AS "Severity", category AS "Category",
-  description AS "Description" FROM listed"""),
+      FROM listed_all GROUP BY repo_id, category)"""),
+    "csv_rows": sql(*FULL, select="""
+SELECT repo_id, ord AS position, path AS "File", line AS "Line", severity AS "Severity", category AS "Category",
+  description AS "Description" FROM result_findings"""),
+    "findings_export": sql(*FULL, select=f"""
+SELECT repo_id, severity = 'info' AS is_caution, {_RANK} AS severity_rank, ord AS position, path AS "File", line AS "Line",
+  severity AS "Severity", category AS "Category", description AS "Description", pattern, points
+FROM (SELECT repo_id, path, ord, severity, category, description, pattern, line, points FROM positioned
+  UNION ALL SELECT repo_id, path, ord, severity, category, description, pattern, line, points FROM dep_found)"""),
+    "sarif_log": sql(*FULL, RANKED, LISTED, select=f"""
+SELECT repo_id, position, category AS rule_id, {_sarif_level('severity')} AS level, description AS message,
+  replace(path, chr(92), '/') AS uri, line FROM listed"""),
+    "json_report": sql(*FULL, RANKED, LISTED, _rollup("results"), select="""
+SELECT u.repo_id, 'https://git.example.com/' || u.repo_id AS repo_url, total_files, overall_risk_score, risk_level,
+  findings_count, cautions_count, position, path AS file, severity, category, description, line
+FROM rollup_ u LEFT JOIN listed l ON l.repo_id = u.repo_id"""),
+    "oversize": sql(*DOC_FINDINGS, SCORES, "sized AS (SELECT *, length(path) % 3 = 0 AS noted FROM scores)", select="""
+SELECT 'whole' AS mode, repo_id, path, risk_score, noted FROM sized
+UNION ALL SELECT 'capped', repo_id, path, CASE WHEN noted THEN 0 ELSE risk_score END, noted FROM sized"""),
+    "high_entropy": f"""
+SELECT source AS repo_id, CAST(doc_id AS VARCHAR) AS path, 'medium' AS severity, 'obfuscation' AS category,
+  {rules.POINTS_ENTROPY} AS points
+FROM documents
+WHERE doc_id % 2 = 0 AND list_entropy(regexp_extract_all(array_to_string(
+  list_transform(range(64), lambda i: sha256(doc_id || ':' || i)), ''), '..')) > {rules.HIGH_ENTROPY}""",
+    "read_errors": sql(corpora.DOCUMENTS_SQL, select="""
+SELECT repo_id, path, 'info' AS severity, 'Error reading file: Permission denied' AS description, 0 AS points
+FROM docs WHERE length(path) % 2 = 0"""),
+    "read_archives": sql(corpora.ARCHIVES_SQL, select="""
+SELECT repo_id, 'texts/' || doc_id || '.txt' AS path, strlen(text) AS size, sha256(text) AS sha256, false AS failed
+FROM packed WHERE NOT cut
+UNION ALL SELECT DISTINCT repo_id, '(archive)', 0, NULL, true FROM packed WHERE cut"""),
 }
 ORACLES["stream_scan"] = ORACLES["file_score"]

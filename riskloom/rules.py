@@ -103,7 +103,6 @@ QUICK_MAX_FILES = 10_000
 BINARY_PROBE_BYTES = 1024
 REPORT_LIMIT = 50
 DETAIL_LIMIT = 10
-ADVISORY_PINS_PER_MANIFEST = 50
 
 # --- Path filters --------------------------------------------------------------
 SKIP_DIRS = [".git", "__pycache__", "node_modules", ".venv", "venv",
@@ -138,7 +137,6 @@ MEDIUM_ABOVE = 20
 DOCKER_MEDIUM_FROM = 20
 
 # --- Container build files -----------------------------------------------------
-DOCKERFILE_GLOBS = ["Dockerfile", "Dockerfile.*", "*.dockerfile"]
 ADD_ARCHIVE_SUFFIXES = [".tar", ".tar.gz", ".tgz", ".tar.bz2", ".zip"]
 
 # --- Dependency floors: ecosystem -> package -> (first good version, reason) ---

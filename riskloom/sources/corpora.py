@@ -7,6 +7,10 @@ from pieces here; no complete one is stored.
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +126,38 @@ docs AS (
 )"""
 
 
+ARCHIVES = 32
+
+
+def archives_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo_id, content``: the documents packed into tars, 32 of each source. The last
+    of each source is cut off in its first header."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.encode("text", "UTF-8").alias("text"),
+        F.concat_ws("-", "source", (F.col("doc_id") % ARCHIVES).cast("string")).alias("repo_id"),
+    )
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        packed = io.BytesIO()
+        with tarfile.open(fileobj=packed, mode="w") as tar:
+            for row in rows.itertuples():
+                member = tarfile.TarInfo(f"./texts/{row.doc_id}.txt")
+                member.size = len(row.text)
+                tar.addfile(member, io.BytesIO(row.text))
+        repo_id = rows["repo_id"].iloc[0]
+        cut = 400 if repo_id.endswith(f"-{ARCHIVES - 1}") else None
+        return pd.DataFrame({"repo_id": [repo_id], "content": [packed.getvalue()[:cut]]})
+
+    return docs.groupBy("repo_id").applyInPandas(pack, "repo_id string, content binary")
+
+
+ARCHIVES_SQL = f"""
+packed AS (
+  SELECT source || '-' || (doc_id % {ARCHIVES}) AS repo_id, doc_id, text, doc_id % {ARCHIVES} = {ARCHIVES - 1} AS cut
+  FROM documents
+)"""
+
+
 # --- paths ---------------------------------------------------------------------
 
 DIRS = ["src", "src/lib", "node_modules/a", "a/.git", "dist", "app/build/x", "docs",

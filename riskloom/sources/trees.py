@@ -7,8 +7,10 @@ start with ``.`` or ``_`` and follows symbolic links.
 from __future__ import annotations
 
 import io
+import lzma
 import os
 import tarfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -20,6 +22,8 @@ from riskloom.functions.findings import FILES_SCHEMA
 from riskloom.functions.scoring import repo_name
 
 BATCH_BYTES = 32 * 1024 * 1024
+#: Stands for an archive that could not be read to its end.
+ARCHIVE_PATH = "(archive)"
 _COLUMNS = ["repo_id", "path", "size", "is_symlink", "content"]
 
 
@@ -36,35 +40,43 @@ def _batches(records: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFr
         yield pd.DataFrame(rows, columns=columns)
 
 
-def _members(repo_id: str, archive: bytes) -> Iterator[tuple]:
-    with tarfile.open(fileobj=io.BytesIO(archive), mode="r:*") as tar:
-        for member in tar:
-            if member.isdir():
-                continue
-            path = member.name.removeprefix("./")
-            if member.issym():
-                yield repo_id, path, 0, True, None
-            elif member.isfile() or member.islnk():
-                # content above the cap is never scanned, so it is not carried along
-                handle = tar.extractfile(member) if member.size <= rules.MAX_FILE_BYTES else None
-                yield repo_id, path, member.size, False, handle.read() if handle else None
+def _members(repo_id: str, archive: bytes | None) -> Iterator[tuple]:
+    """The files of one archive. One that breaks off, or is none, gives what came before
+    and a row that says so."""
+    try:
+        with tarfile.open(fileobj=io.BytesIO(archive or b""), mode="r:*") as tar:
+            for member in tar:
+                if member.isdir():
+                    continue
+                path = member.name.removeprefix("./")
+                if member.issym():
+                    yield repo_id, path, 0, True, None, None
+                elif member.isfile() or member.islnk():
+                    handle = tar.extractfile(member)
+                    yield repo_id, path, member.size, False, handle.read() if handle else None, None
+    except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError, KeyError) as problem:
+        yield repo_id, ARCHIVE_PATH, 0, False, None, str(problem)
+
+
+def expand_archives(archives: DataFrame) -> DataFrame:
+    """``files`` (with ``read_error``) from a table ``repo_id, content`` of tars."""
+
+    def expand(batches):
+        for batch in batches:
+            for repo_id, content in zip(batch["repo_id"], batch["content"], strict=True):
+                yield from _batches(_members(repo_id, content), [*_COLUMNS, "read_error"])
+
+    return archives.select("repo_id", "content").mapInPandas(expand, FILES_SCHEMA + ", read_error string")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One tar (plain or compressed) per repository; ``repo_id`` is the archive's name
     without its extension. Archives are read in parallel, members one at a time."""
-    archives = (
+    return expand_archives(
         spark.read.format("binaryFile").load(path)
         .select(F.regexp_replace(repo_name(F.col("path")), r"\.(tar(\.\w+)?|tgz)$", "").alias("repo_id"), "content")
     )
 
-    def expand(batches):
-        for batch in batches:
-            for repo_id, content in zip(batch["repo_id"], batch["content"]):
-                yield from _batches(_members(repo_id, content), _COLUMNS)
-
-    return archives.mapInPandas(expand, FILES_SCHEMA)
-
 
 def _walk(repo_id: str, root: str) -> Iterator[tuple]:
     for folder, subfolders, names in os.walk(root):
@@ -103,7 +115,7 @@ def read_trees(spark: SparkSession, roots: list[str], partitions: int | None = N
 
     def read(record) -> tuple:
         content, error = None, None
-        if not record.is_symlink and record.size <= rules.MAX_FILE_BYTES:
+        if not record.is_symlink:
             try:
                 with open(os.path.join(record.root, record.path), "rb") as handle:
                     content = handle.read()

@@ -21,10 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: computed once, used by
-    several steps, column-pruned on reading, and safe when executors are lost."""
+def store(df: DataFrame) -> str:
+    """Write the rows as Parquet to a new place in the shared folder, which is returned."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Store the rows and read them back: computed once, used by several steps,
+    column-pruned on reading, and safe when executors are lost."""
+    path = store(df)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,11 +90,18 @@ def test_advisories(make_files, advisories):
     assert rows["s"]["findings"][0]["description"] == "npm package 'vue' 3.0.0: unknown - no summary available"
 
 
-def test_only_the_first_fifty_pins_are_looked_up(make_files, advisories):
+def test_every_pin_of_a_long_manifest_is_looked_up(make_files, advisories):
     lines = ["# head"] + [f"p{i}==1.0" for i in range(49)] + ["flask", "flask==0.1", "flask==0.2"]
     parsed = deps.manifests(make_files(("r", "requirements.txt", "\n".join(lines))))
     found = deps.advisory_rows(parsed, advisories).collect()
-    assert {r["finding"]["line"] for r in found} == {52}
+    assert {r["finding"]["line"] for r in found} == {52, 53}
+
+
+def test_npm_takes_strict_json_only(make_files):
+    good = '{"dependencies": {"axios": "0.1.0"}}'
+    bad = [good.replace('"', "'"), good + " trailing", good + good, good + "]", "[" + good + "]", good[:-1], ""]
+    files = make_files(("good", "package.json", " \n" + good + "\n"), *((f"bad{i}", "package.json", t) for i, t in enumerate(bad)))
+    assert {r["repo_id"] for r in deps.dependency_results(deps.manifests(files)).collect()} == {"good"}
 
 
 def test_salted_join_equals_broadcast_join(spark):

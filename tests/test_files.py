@@ -11,6 +11,7 @@ from riskloom.functions import text as T
 from riskloom.functions.entropy import byte_entropy
 from riskloom.functions.globs import globs_to_regex
 from riskloom.operators import paths
+from riskloom.operators.paths import select_files
 from riskloom.plans.scan import analyze, prepare, scan
 
 
@@ -65,15 +66,21 @@ def test_entropy(make_files):
     assert hit["category"] == "obfuscation" and hit["severity"] == "medium"
     assert hit["description"] == f"High entropy: {byte_entropy(noise):.2f} (possible obfuscation)"
     assert rows["noise.bin"]["risk_score"] == 20.0 and rows["noise.bin"]["is_binary"]
-    assert rows["short.bin"]["findings"] == [] and rows["text.txt"]["entropy"] is None
+    assert rows["short.bin"]["findings"] == [] and abs(rows["text.txt"]["entropy"] - 1.584963) < 1e-6
+    some = analyze(make_files(("r", "text.txt", "abc" * 500)), entropy_of="candidates").first()
+    assert some["entropy"] is None
 
 
 def test_size_cap(make_files):
     big = rules.MAX_FILE_BYTES
-    rows = {r["path"]: r for r in analyze(make_files(
+    files = make_files(
         ("r", "big.py", b"os.system(x)", big + 1, False), ("r", "fits.py", b"os.system(x)", big, False),
         ("r", "unreadable", None, 5, False), ("r", "gone", None, None, False),
-    )).collect()}
+    )
+    whole = {r["path"]: r for r in analyze(files).collect()}
+    assert whole["big.py"]["risk_score"] == whole["fits.py"]["risk_score"] > 0
+    assert [f["category"] for f in whole["big.py"]["findings"]].count("size") == 1
+    rows = {r["path"]: r for r in analyze(files, max_bytes=big).collect()}
     (hit,) = rows["big.py"]["findings"]
     assert (hit["category"], hit["severity"], hit["points"]) == ("size", "info", 0)
     assert rows["big.py"]["risk_score"] == 0.0 and rows["fits.py"]["risk_score"] > 0
@@ -164,3 +171,9 @@ def test_manifests_are_checked_even_when_filtered(make_files):
     rows = {(r["repo_id"], r["path"]): r for r in scan(files).collect()}
     assert set(rows) == {("r", "dependencies"), ("t", "sub/requirements.txt")}
     assert rows["r", "dependencies"]["risk_score"] == 15.0
+
+
+def test_an_ignore_list_without_link_flag_counts(make_files):
+    files = make_files(("r", ".reposecurityignore", "*.log\n", 6, None), ("r", "x.log", "a", 1, None), ("r", "y.py", "a", 1, None))
+    chosen = {r["path"] for r in select_files(files).filter("selected").collect()}
+    assert "x.log" not in chosen and "y.py" in chosen

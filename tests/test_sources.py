@@ -64,3 +64,18 @@ def test_stream_equals_batch(spark, make_files, tmp_path):
     totals = spark.read.parquet(str(tmp_path / "roll")).groupBy("repo_id").agg(F.sum("total_files").alias("n"))
     assert {tuple(r) for r in totals.collect()} == {
         tuple(r) for r in rollup(analyze(files.filter("path <> 'yarn.lock'"))).select("repo_id", "total_files").collect()}
+
+
+def test_a_broken_archive_is_one_row_with_its_error(spark, tmp_path):
+    whole = io.BytesIO()
+    with tarfile.open(fileobj=whole, mode="w") as tar:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = 3000
+            tar.addfile(info, io.BytesIO(b"x" * 3000))
+    (tmp_path / "cut.tar").write_bytes(whole.getvalue()[:5000])
+    (tmp_path / "none.tar").write_bytes(b"no archive" * 100)
+    (tmp_path / "fine.tar").write_bytes(whole.getvalue())
+    rows = [(r["repo_id"], r["path"], r["read_error"] is None) for r in read_archives(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == [
+        ("cut", "(archive)", False), ("cut", "a", True), ("fine", "a", True), ("fine", "b", True), ("none", "(archive)", False)]

@@ -1,5 +1,6 @@
 """Roll-up, ranking, reports."""
 
+import csv
 import json
 import random
 
@@ -121,15 +122,23 @@ def test_export(spark, results, tmp_path):
     assert reports.export_reports(repo, None) == []
     (tmp_path / "taken.csv").mkdir()
     paths = [str(tmp_path / n) for n in ("R.JSON", "r.txt", "taken.csv", "r.csv", "r.sarif")]
-    messages = reports.export_reports(repo, paths)
-    assert [m.split(":")[0].split(" to ")[0] for m in messages] == [
-        "Report saved", "Unsupported output format, use .csv, .json, .sarif", "Failed", "Report saved", "Report saved",
-    ] or messages[2].startswith("Failed to save report to")
+    done = reports.export_reports(repo, paths)
+    assert [(e.path, e.format, e.state) for e in done] == list(zip(
+        paths, ["json", "txt", "csv", "csv", "sarif"], ["written", "unsupported", "failed", "written", "written"], strict=True))
+    assert [e.error is not None for e in done] == [False, False, True, False, False]
+    assert [e.state for e in reports.export_reports(repo, ["x.doc"])] == ["unsupported"]
     rows = {d["repo_name"]: d for d in map(json.loads, (r["value"] for r in spark.read.text(paths[0]).collect()))}
     assert rows["a"]["findings"][0] == {
         "file": "z.py", "severity": "critical", "category": "secret", "description": "worse", "line": None}
     assert rows["b"]["findings_count"] == 1 and len(rows["b"]["cautions"]) == 50
     table = spark.read.option("header", True).csv(paths[3])
+    hard = repo.filter("repo_id = 'a'").withColumn("findings", F.transform("findings", lambda f: f.withField(
+        "path", F.lit(" a,b ")).withField("description", F.lit('say "hi"\\ '))))
+    reports.write_csv(hard, str(tmp_path / "hard.csv"))
+    (part,) = [p for p in (tmp_path / "hard.csv").glob("part-*") if p.stat().st_size]
+    with part.open(newline="") as file:
+        read = list(csv.DictReader(file))
+    assert read[0]["File"] == " a,b " and read[0]["Description"] == 'say "hi"\\ '
     assert table.columns == ["Repository", "File", "Line", "Severity", "Category", "Description"]
     assert table.filter("Repository = 'a'").count() == 4
     assert spark.read.text(paths[4]).count() == 3
