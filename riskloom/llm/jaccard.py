@@ -8,16 +8,17 @@ matrix with its transpose is never formed whole:
    of a row is as many of its first columns as a linked pair can't both miss: of ``n``
    columns ``n - ceil(s n) + 1``, and ``n - ceil(2 s n / (1 + s)) + 1`` for the smaller of
    the two rows. Only leading blocks are multiplied by way of a shuffle on the column.
-2. Pairs that the product finds carry the overlap counted so far. They are discarded when
-   their sizes, their places in the block, or the bound of their *bit rows* exclude the
-   overlap that their sizes ask for. A bit row marks the columns modulo its width: each
+2. Pairs are discarded when their sizes, their places in the block, or the bound of their
+   *bit rows* exclude the overlap that their sizes ask for. Of two rows no column before
+   their first common one is shared, which bounds the overlap by what follows it. A bit row marks the columns modulo its width: each
    mark that the other row lacks is at least one column that the other row lacks.
 3. The rest accumulate their overlap over the full rows, which decides exactly.
 
 A group of copies never becomes all its pairs. Rows with equal sets are one row from the
 start. Then each column joins its rows to two pivots only, each row is tested with the two that
 it shares most columns with, and of all other pairs those in different components are
-looked at afterwards; none of these is left out.
+looked at afterwards. None of these is left out but those whose known distances to a
+common pivot exclude a link by the triangle inequality, which Jaccard distances obey.
 """
 
 from __future__ import annotations
@@ -191,8 +192,8 @@ class _Bounds:
         return F.expr(f"100 * {overlap} >= {self.s} * ({x} + {y} - {overlap})")
 
 
-def _discard_by_bits(pairs: DataFrame, rows: DataFrame, bounds: _Bounds) -> DataFrame:
-    """Keep the pairs ``a, b`` whose bit rows allow the overlap that their sizes ask for."""
+def _bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with their sizes and ``most``, what their bit rows allow of overlap."""
     x = rows.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
     y = rows.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
     fold = (
@@ -208,18 +209,48 @@ def _discard_by_bits(pairs: DataFrame, rows: DataFrame, bounds: _Bounds) -> Data
     most = (
         f"least(n_a - {missing.format('bits_a', 'bits_b')}, n_b - {missing.format('bits_b', 'bits_a')})"
     )
-    return both.where(F.expr(f"{most} >= {bounds.least_overlap('n_a', 'n_b')}")).select("a", "b").distinct()
+    return both.select("a", "b", "n_a", "n_b", F.expr(most).alias("most"))
 
 
-def _links(pairs: DataFrame, full: DataFrame, bounds: _Bounds) -> DataFrame:
-    """The pairs whose overlap over the full rows is enough."""
+def _possible(bounded: DataFrame, bounds: _Bounds) -> DataFrame:
+    """The pairs whose bound allows the overlap that their sizes ask for."""
+    return bounded.where(F.expr(f"most >= {bounds.least_overlap('n_a', 'n_b')}")).select("a", "b").distinct()
+
+
+def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The overlap of each pair over the full rows."""
     x = full.select(F.col("doc_id").alias("a"), F.col("columns").alias("x"))
     y = full.select(F.col("doc_id").alias("b"), F.col("columns").alias("y"))
-    counted = pairs.join(y, "b").join(x, "a").select(
+    return pairs.join(y, "b").join(x, "a").select(
         "a", "b", F.size(F.array_intersect("x", "y")).alias("overlap"),
         F.size("x").alias("n_a"), F.size("y").alias("n_b"),
     )
-    return counted.where(bounds.linked("overlap", "n_a", "n_b")).select("a", "b")
+
+
+def _distances(best: DataFrame, bounded: DataFrame, counted: DataFrame, several: DataFrame) -> DataFrame:
+    """For each row and each of its two pivots the Jaccard distance between them, at least
+    ``low`` and at most ``high``: exact where it was counted. Ids with several sets are
+    left out, as they have no single distance."""
+    share = "({0} / cast(n_a + n_b - {0} as double))"
+    known = counted.select("a", "b", F.expr(f"1 - {share.format('overlap')}").alias("exact"))
+    ranges = bounded.join(known, ["a", "b"], "left").select(
+        "a", "b", F.expr(f"coalesce(exact, 1 - {share.format('most')})").alias("low"), F.expr("coalesce(exact, 1D)").alias("high")
+    )
+    pairs = best.withColumn("a", F.least("pivot", "doc_id")).withColumn("b", F.greatest("pivot", "doc_id"))
+    single = pairs.join(several.select("doc_id"), "doc_id", "left_anti").join(
+        several.select(F.col("doc_id").alias("pivot")), "pivot", "left_anti"
+    )
+    to = lambda side: F.max(F.when(F.col("side") == side, F.struct("pivot", "low", "high"))).alias(f"to{side}")
+    return single.join(ranges, ["a", "b"]).groupBy("doc_id").agg(to(0), to(1))
+
+
+def _too_far(side: int, bounds: _Bounds) -> str:
+    """Two rows can't be linked when their distances to one pivot differ by more than a
+    linked pair's own distance: the Jaccard distance obeys the triangle inequality."""
+    x, y, limit = f"to{side}_a", f"to{side}_b", f"{(100 - bounds.s) / 100} + 1e-9"
+    return (
+        f"coalesce({x}.pivot = {y}.pivot and ({x}.low - {y}.high > {limit} or {y}.low - {x}.high > {limit}), false)"
+    )
 
 
 def jaccard_components(
@@ -280,39 +311,51 @@ def jaccard_components(
         F.struct(F.lit(1).alias("side"), F.col("high").alias("pivot")),
     ))).where("pivot <> doc_id")
     overlaps = starred.groupBy("doc_id", "side", "pivot").agg(F.count("*").alias("overlap"))
-    best = overlaps.groupBy("doc_id", "side").agg(F.max(F.struct("overlap", "pivot"))["pivot"].alias("pivot"))
+    best = materialize(
+        overlaps.groupBy("doc_id", "side").agg(F.max(F.struct("overlap", "pivot"))["pivot"].alias("pivot"))
+    )
     tested = materialize(
         best.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     )
-    likely = materialize(_discard_by_bits(tested, matrix, bounds))
+    bounded = materialize(_bounded(tested, matrix))
+    likely = materialize(_possible(bounded, bounds))
 
     def rows_of(ids: DataFrame) -> DataFrame:
-        return materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_rows(width), "doc_id long, columns array<long>"))
+        return materialize(
+            texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_rows(width), "doc_id long, columns array<long>")
+        )
 
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     full = rows_of(ends(likely))
-    links = materialize(_links(likely, full, bounds).distinct())
+    counted = materialize(_overlaps(likely, full))
+    links = materialize(counted.where(bounds.linked("overlap", "n_a", "n_b")).select("a", "b").distinct())
     roots = materialize(connected_components(links))
 
     # what is left: pairs of different components that share a column of their blocks
-    placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "column", "doc_id", "n", "place", F.coalesce("root", "doc_id").alias("root")
+    several = sets.groupBy(F.col("row_id").alias("doc_id")).count().where("count > 1")
+    distances = materialize(_distances(best, bounded, counted, several))
+    placed = (
+        shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(distances, "doc_id", "left")
+        .select("column", "doc_id", "n", "place", F.coalesce("root", "doc_id").alias("root"), "to0", "to1")
     )
     open_columns = placed.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_rows = materialize(placed.join(open_columns.select("column"), "column"))
-    x = open_rows.select("column", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "root")))
-    y = open_rows.select("column", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "root")))
+    parts = ("doc_id", "n", "place", "root", "to0", "to1")
+    x = open_rows.select("column", *(F.col(c).alias(f"{c}_a") for c in parts))
+    y = open_rows.select("column", *(F.col(c).alias(f"{c}_b") for c in parts))
     smaller = F.expr("n_a < n_b or n_a = n_b and doc_id_a < doc_id_b")
-    room = "1 + least(n_a - place_a, n_b - place_b) - 1 + least(place_a, place_b)"
+    # a pair is found at its first common column in the order: none before it is shared
+    room = "least(n_a - place_a, n_b - place_b)"
     found = (
         x.where(bounds.in_short_block("n_a", "place_a")).join(y, "column")
         .where(smaller & F.expr("root_a <> root_b") & bounds.sizes("n_a", "n_b"))
         .where(F.expr(f"{room} >= {bounds.least_overlap('n_a', 'n_b')}"))
+        .where(F.expr(f"not ({_too_far(0, bounds)} or {_too_far(1, bounds)})"))
         .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
     )
-    rest = materialize(_discard_by_bits(found.join(tested, ["a", "b"], "left_anti"), matrix, bounds))
+    rest = materialize(_possible(_bounded(found.join(tested, ["a", "b"], "left_anti"), matrix), bounds))
     more = rows_of(ends(rest).join(full.select("doc_id"), "doc_id", "left_anti"))
-    late_links = _links(rest, full.union(more), bounds)
+    late_links = _overlaps(rest, full.union(more)).where(bounds.linked("overlap", "n_a", "n_b")).select("a", "b")
     all_roots = connected_components(links.union(late_links))
 
     classes = all_roots.select(F.col("node").alias("row_id"), F.col("root"))
