@@ -53,9 +53,9 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
 #: Log-probabilities of the channel.
-AS_LETTER, AS_ITSELF, HELD_ONE, HELD_TWO, HELD_AS_IS, DOUBLE_AS_ONE, DROPPED, KEPT_APART = (
-    -1.0, -0.5, -0.5, -1.5, -6.0, -6.0, -0.2, -6.0,
-)
+AS_LETTER, AS_ITSELF, HELD_ONE, HELD_TWO, HELD_AS_IS, DOUBLE_AS_ONE, DROPPED, KEPT_APART, KEPT_FIRST = (
+    -1.0, -0.5, -0.5, -1.5, -6.0, -6.0, -0.2, -6.0, -1.0,
+)  # the last: the first letter set apart is a word of its own, as in "a f o o l"
 
 _SIGN = r"(?:[^\W_]|[@$!|+])"
 _APART = re.compile(rf"(?<![\w@$!|+])(?:{_SIGN}[ .\-_*~]){{3,}}{_SIGN}(?![\w@$!|+])")
@@ -117,7 +117,7 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
     for match in re.finditer(r"(.)\1*", span.lower(), re.DOTALL):
         c, r = match[1], len(match[0])
         if c in " .-_*~":
-            units.append([("", DROPPED), (" ", KEPT_APART)])
+            units.append([("", DROPPED), (" ", KEPT_FIRST if len(units) == 1 else KEPT_APART)])
         elif c in STANDS_FOR:
             arcs = [(c * r, AS_ITSELF * r)]
             for letter in STANDS_FOR[c]:

@@ -23,7 +23,7 @@ def sf_dir(spark, docs_of, tmp_path_factory):
     near = words(3001, 100).split()
     near[50] = "other"
     rows += [
-        (3000, "a n u m b s k u l l is here " + words(3000, 30)), (3001, words(3001, 100)), (3002, words(3001, 100)),
+        (3000, "such n u m b s k u l l is here " + words(3000, 30)), (3001, words(3001, 100)), (3002, words(3001, 100)),
         (3003, " ".join(near)), (3004, words(9000, 20) + " " + words(3004, 30)), (3005, None), (3006, ""), (3007, ""),
     ]
     docs_of(rows).write.parquet(f"{folder}/documents.parquet")
