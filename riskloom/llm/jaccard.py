@@ -294,10 +294,13 @@ def jaccard_components(
         _leading_columns(width, similarity, late[by_value], by_value), "column long, doc_id long, n int, place int"
     )
 
-    # block product: only columns that the short block of a row holds can find a pair
+    # block product: only columns that the short block of a row holds can find a pair; the
+    # other row of the pair may hold the column beyond its own short block
     short = bounds.in_short_block("n", "place")
-    held = leading.where(short).groupBy("column").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = leading.join(held, "column").where("first < last or doc_id <> first").drop("first", "last")
+    held = leading.groupBy("column").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(short).alias("short")
+    ).where("short and first < last")
+    shared = leading.join(held.select("column"), "column")
     shared = materialize(
         shared.join(of_row, ["doc_id", "n"]).groupBy("column", F.col("row_id").alias("doc_id"), "n").agg(
             F.min("place").alias("place")

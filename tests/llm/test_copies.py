@@ -70,6 +70,27 @@ def test_jaccard_against_all_pairs(docs_of, odd_docs, odd_rows, no_docs):
     assert jaccard_components(no_docs).count() == 0
 
 
+def test_jaccard_links_texts_held_in_longer_ones(docs_of):
+    rows = []
+    for i in range(120):  # 3 of 4 n-grams, 4 of 5, 6 of 8: the longer text may share by its long block only
+        n, more = ((7, 1), (8, 1), (10, 2))[i % 3]
+        text = words(9000 + i, n + more, 10**6).split()
+        rows += [(1000 + 2 * i, " ".join(text[:n])), (1001 + 2 * i, " ".join(text))]
+    for i in range(10):  # a base in versions grown by a fifth to a third, not linked with each other
+        base = words(7000 + i, 64, 10**6)
+        rows += [(5000 + 10 * i, base)] + [
+            (5000 + 10 * i + k, f"{base} {words(7100 + 10 * i + k, 12 + 2 * k, 10**6)}") for k in range(1, 5)
+        ]
+    sets = [shingles(t) for _, t in rows]
+    ids = [i for i, _ in rows]
+    of = roots(ids, [
+        (ids[x], ids[y]) for x in range(len(rows)) for y in range(x)
+        if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+    ])
+    got = jaccard_components(docs_of(rows).repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == of and len(set(of.values())) == 130
+
+
 def test_repeats_against_all_windows(odd_docs, odd_rows, no_docs):
     first = {}
     split = [(i, (t or "").encode().split()) for i, t in odd_rows]
