@@ -1,6 +1,7 @@
 """Operators on copies, against brute force over small tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from riskloom.llm.components import connected_components
 from riskloom.llm.digests import exact_groups, keep_one
 from riskloom.llm.jaccard import jaccard_components
 from riskloom.llm.lines import drop_lines, fuzzy_lines
+from riskloom.llm.queries import op5_lines
 from riskloom.llm.substrings import remaining, remove_repeats
 
 
@@ -160,3 +162,37 @@ def test_fuzzy_lines(docs_of, no_docs):
     texts = {r["doc_id"]: r["text"] for r in drop_lines(docs, got).where("doc_id is not null").collect()}
     assert texts[1] == rows[0][1] and texts[2] == "another line" and texts[6] == "" and texts[4] is None
     assert fuzzy_lines(no_docs).count() == 0
+
+
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def test_lines_of_one_changed_word_or_letter_are_linked(spark, docs_of, tmp_path):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocabulary = [word(rng.randrange(4, 8)) for _ in range(3000)]
+    rows, kinds = [], {}
+    for n in (10, 20, 30, 55):
+        for kind in ("word", "letter"):
+            for _ in range(40):
+                line = [rng.choice(vocabulary) for _ in range(n)]
+                other, at = list(line), rng.randrange(n)
+                other[at] = word(len(line[at])) if kind == "word" else "#" + line[at][1:]
+                x, y = " ".join(line), " ".join(other).replace("#", "q" if line[at][0] != "q" else "z")
+                if x == y or 10 * edits(x, y) > max(len(x), len(y)):
+                    continue
+                kinds[len(rows)] = (n, kind)
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["first_doc"] for r in op5_lines(spark, str(tmp_path)).collect()}
+    pairs = Counter(kinds.values())
+    linked = Counter(kind for i, kind in kinds.items() if got[i + 1] == got[i])
+    share = {kind: linked[kind] / pairs[kind] for kind in pairs}
+    assert all(i == got[i] for i in kinds)  # none is linked with another pair's line
+    assert all(share[n, kind] >= least for n, least in ((10, 0.45), (20, 0.8), (30, 0.9), (55, 0.95)) for kind in ("word", "letter")), share
