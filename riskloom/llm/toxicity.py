@@ -33,10 +33,10 @@ PIECE = 2 << 20
 MOST_LABELS = 40_000
 #: Words and word beginnings that may carry weight.
 MOST_MARKS = 20_000
-#: A disguised word has so many signs at most; longer ones are keys, digests, addresses.
-LONGEST = 40
-#: Decoded spans that a task remembers.
-REMEMBERED = 100_000
+#: Letters set apart are several words from so many on, and word ends between them likely.
+SEVERAL = 16
+#: Decoded spans that a task remembers, and how long such a span is at most.
+REMEMBERED, REMEMBERED_SIGNS = 100_000, 80
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 SYMBOLS = 64
@@ -56,9 +56,13 @@ STANDS_FOR = {
 AS_LETTER, AS_ITSELF, HELD_ONE, HELD_TWO, HELD_AS_IS, DOUBLE_AS_ONE, DROPPED, KEPT_APART, KEPT_FIRST = (
     -1.0, -0.5, -0.5, -1.5, -6.0, -6.0, -0.2, -6.0, -1.0,
 )  # the last: the first letter set apart is a word of its own, as in "a f o o l"
+#: A word's end between letters set apart that are several words.
+KEPT_AMONG_SEVERAL = -1.6
+#: Of the signs that end a token, these seldom stand for themselves.
+SELDOM_LAST, LAST_AS_ITSELF = "@$", -6.0
 
 _SIGN = r"(?:[^\W_]|[@$!|+])"
-_APART = re.compile(rf"(?<![\w@$!|+])(?:{_SIGN}[ .\-_*~]){{3,}}{_SIGN}(?![\w@$!|+])")
+_APART = re.compile(rf"(?<![\w@$!|+])(?:{_SIGN}[ .\-_*~]){{2,}}{_SIGN}(?![\w@$!|+])")
 #: In a token that may be disguised: a sign of leetspeak, or a letter held.
 _HINT = re.compile(r"[0-9@$!|+]|([^\W\d_])\1\1", re.IGNORECASE)
 
@@ -111,15 +115,18 @@ def letter_model(counts: pd.DataFrame) -> list[float]:
 # -- the noisy channel --------------------------------------------------------------------
 
 
-def _lattice(span: str) -> list[list[tuple[str, float]]]:
+def _lattice(span: str, apart: bool) -> list[list[tuple[str, float]]]:
     """For each run of one character what it can stand for."""
     units = []
+    kept = KEPT_AMONG_SEVERAL if apart and len(span) > 2 * SEVERAL else KEPT_APART
+    last = len(span) if apart else len(span.rstrip("@$!|+"))
     for match in re.finditer(r"(.)\1*", span.lower(), re.DOTALL):
         c, r = match[1], len(match[0])
         if c in " .-_*~":
-            units.append([("", DROPPED), (" ", KEPT_FIRST if len(units) == 1 else KEPT_APART)])
+            units.append([("", DROPPED), (" ", KEPT_FIRST if len(units) == 1 else kept)])
         elif c in STANDS_FOR:
-            arcs = [(c * r, AS_ITSELF * r)]
+            seldom = c in SELDOM_LAST and match.start() >= last
+            arcs = [(c * r, LAST_AS_ITSELF if seldom else AS_ITSELF * r)]
             for letter in STANDS_FOR[c]:
                 arcs.append((letter, AS_LETTER if r == 1 else AS_LETTER + HELD_ONE))
                 if r > 1:
@@ -136,9 +143,10 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(span: str, model: list[float]) -> str:
     """The likeliest reading of a disguised span."""
-    best = {(_END, _END): (0.0, "")}
-    for arcs in _lattice(span):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(_END, _END): (0.0, ())}  # a reading is linked from its end
+    apart = _APART.fullmatch(span) is not None
+    for arcs in _lattice(span, apart):
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (p, read) in best.items():
             for text, cost in arcs:
                 q, x, y = p + cost, a, b
@@ -148,9 +156,20 @@ def viterbi(span: str, model: list[float]) -> str:
                         q += model[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                 if (x, y) not in after or q > after[x, y][0]:
-                    after[x, y] = (q, read + text)
+                    after[x, y] = (q, (read, text))
         best = after
-    return max((p + model[(a * SYMBOLS + b) * SYMBOLS + _END], read) for (a, b), (p, read) in best.items())[1]
+    read = max(
+        (  # signs that end a token may have ended its word
+            (p if b == _END and not apart else p + model[(a * SYMBOLS + b) * SYMBOLS + _END], read)
+            for (a, b), (p, read) in best.items()
+        ),
+        key=lambda end: end[0],
+    )[1]
+    parts = []
+    while read:
+        read, text = read
+        parts.append(text)
+    return "".join(reversed(parts))
 
 
 class Restorer:
@@ -160,6 +179,8 @@ class Restorer:
         self.model, self.known = model, {}
 
     def span(self, span: str) -> str:
+        if len(span) > REMEMBERED_SIGNS:
+            return viterbi(span, self.model)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if span not in self.known:
@@ -168,13 +189,14 @@ class Restorer:
 
     def _apart(self, match: re.Match) -> str:
         signs = match[0][::2].lower()
-        return match[0] if len(signs) > LONGEST or len(set(signs)) < 3 else self.span(match[0])
+        if not any(c.isalpha() for c in signs) and (len(signs) < 4 or len(set(signs)) < 3):
+            return match[0]
+        return self.span(match[0])
 
     def _token(self, token: str) -> str:
-        core = token.rstrip("@$!|+")
-        if len(core) < 3 or len(core) > LONGEST or not any(c.isalpha() for c in core) or not _HINT.search(core):
+        if len(token) < 3 or not any(c.isalpha() for c in token) or not _HINT.search(token):
             return token
-        return self.span(core) + token[len(core) :]
+        return self.span(token)
 
     def text(self, text: str) -> str:
         text = _APART.sub(self._apart, text)
@@ -209,20 +231,30 @@ def _maybe_disguised(texts: pa.Array) -> np.ndarray:
     data, places = text_bytes(texts)
     low, high = int(places[0]), int(places[-1])
     b = _LOWER.take(data[low:high])
-    letter, leet, digit, gap = (t.take(b) for t in (_IS_LETTER, _IS_LEET, _IS_DIGIT, _IS_GAP))
-    sign = letter | leet
-    hints = [np.flatnonzero((leet[:-1] & letter[1:]) | (letter[:-1] & digit[1:]))]
+    letter, leet, gap = (t.take(b) for t in (_IS_LETTER, _IS_LEET, _IS_GAP))
+    hints = [np.flatnonzero((leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:]))]
     hints.append(np.flatnonzero(letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])))
-    wide = (b[4:] == b[2:-2]) & (b[2:-2] == b[:-4]) & (b[4:] >= 0x80)
-    hints.append(np.flatnonzero(wide[:-1] & wide[1:]))
-    for width, opens in ((1, sign), (2, b >= 0xC2)):  # of the letters set apart, in bytes
-        step = width + 1
-        n = len(b) - 3 * step
-        if n > 0:
-            apart = opens[:n].copy()
-            for i in range(3):
-                apart &= gap[i * step + width :][:n] & opens[(i + 1) * step :][:n]
-            hints.append(np.flatnonzero(apart))
+    wide = b >= 0x80
+    n = max(len(b) - 5, 0)
+    held = np.ones(n, bool)  # three wide letters that may be one, in either case
+    for i in range(6):
+        held &= wide[i:][:n]
+    hints.append(np.flatnonzero(held))
+    hints.append(np.flatnonzero((b[:-1] == 0xE2) & (b[1:] == 0x84)))  # signs that are ASCII letters in lower case
+    # letters set apart, of any widths; a wide character may be a letter or none
+    starts = np.flatnonzero((b & 0xC0) != 0x80)
+    opens, sets_apart = (letter | leet).take(starts), gap.take(starts)
+    row_starts = np.zeros(len(b) + 1, bool)
+    row_starts[places - low] = True
+    first = row_starts.take(starts)
+    ends = ~opens | wide.take(starts)
+    before, after = np.ones(len(starts), bool), np.ones(len(starts), bool)
+    before[1:] = ends[:-1] | first[1:]
+    after[:-1] = ends[1:] | first[1:]
+    n = len(starts) - 4
+    if n > 0:
+        apart = before[:n] & opens[:n] & sets_apart[1:][:n] & opens[2:][:n] & sets_apart[3:][:n] & opens[4:][:n] & after[4:][:n]
+        hints.append(starts[np.flatnonzero(apart)])
     rows = np.searchsorted(places - low, np.concatenate(hints), "right") - 1
     return np.unique(rows[(rows >= 0) & (rows < len(texts))])
 

@@ -1,9 +1,11 @@
 """Operators on single texts: phrases, toxicity, tokens, chats, URLs, the mix."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from conftest import words
 
@@ -98,6 +100,51 @@ def test_toxicity_finds_disguised_words(toxic_tables):
     assert got[None]["held_out"] is False
 
 
+@pytest.fixture(scope="module")
+def english():
+    text = "you are a stupid fool and he is an ass with a pigs poop on the boss of all this glass in a class there "
+    other = "so what can we do about it when they say that the rest was not as good as he had said it would be "
+    return toxicity.Restorer(toxicity.letter_model(letters_of([text * 20 + other * 20])))
+
+
+def letters_of(texts):
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    return next(toxicity._count_letters(iter([batch]))).to_pandas()
+
+
+@pytest.mark.parametrize("disguised, word", [
+    (" ".join("youareastupidfoolandheisanasswithpoop"), "fool"),  # several words set apart
+    (" ".join("youareastupidfool" * 40), "fool"),
+    ("st" + "u" * 60 + "pid", "stupid"),
+    ("f" + "0" * 50 + "l", "fool"),
+    ("a s s", "ass"), ("p o o p", "poop"), ("a$$", "ass"), ("you a$$!", "ass"),
+])
+def test_disguises_of_any_length_are_read(english, disguised, word):
+    text = f"he said {disguised} there"
+    assert word in re.split(r"\W+", toxicity.restore(pa.array(["plain", text, "words"]), english)[1].as_py())
+
+
+def test_plain_ends_of_sentences_stay(english):
+    for text in ("what a good class!", "the rest was good!!", "is that so! can we say so!", "all of 20$ there", "1 2 3", "1 1 1 1"):
+        assert english.text(text) == text
+
+
+def test_rows_that_may_be_disguised_are_all_found():
+    rng = random.Random(3)
+    alphabet = ["a", "a", "\u00e9", "\u00c9", "\u044f", "\u4e2d", "\u212a", "k", "$", "!", "1", "0", " ", " ", "-", "_", ".", "\u201c", "\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    texts += ["\u00e9 a b", "a \u00e9 b c", "a b \u4e2d", "\u00c9\u00e9\u00c9", "x", "a b c", None, "a s s"]
+
+    def plain(text):
+        tokens = [t for t in re.findall(r"(?:[^\W_]|[@$!|+])+", text) if len(t) > 2 and any(c.isalpha() for c in t)]
+        return not toxicity._APART.search(text) and not any(toxicity._HINT.search(t) for t in tokens)
+
+    found = set(toxicity._maybe_disguised(pa.array(texts)).tolist())
+    missed = [t for i, t in enumerate(texts) if t and i not in found and not plain(t)]
+    assert not missed
+    assert any(i not in found for i in range(20_000))
+
+
 def test_labels_of_held_out_rows_are_not_read(toxic_tables):
     docs, labels = toxic_tables
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
