@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in
@@ -21,11 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run inside gives its shuffle files back as soon as it has ended. A write
+    is never read again through them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def store(df: DataFrame) -> str:
     """Write the rows as Parquet to a new place in the shared folder, which is returned."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     return path
 
 
