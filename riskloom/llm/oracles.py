@@ -157,6 +157,32 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(p) AS text_sha256 FROM ranked
 """
 
+# bytes as pairs of hex digits; taken from pieces of a text, as places far inside long strings are slow
+SUFFIXES = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+  SELECT r, doc_id, k, substring(h, 2000 * k + 1, 2198) AS g
+  FROM (SELECT *, unnest(range(0, (len(h) // 2 + 900) // 1000)) AS k FROM docs WHERE doc_id IS NOT NULL AND len(h) >= 200)),
+strings AS (
+  SELECT r, doc_id, 1000 * k + j AS i, md5(substring(g, 2 * j + 1, 200)) AS s
+  FROM (SELECT *, unnest(range(0, len(g) // 2 - 99)) AS j FROM pieces)),
+firsts AS (SELECT s, min(struct_pack(d := doc_id, i := i)) AS f FROM strings GROUP BY s HAVING count(*) > 1),
+later AS (SELECT r, i FROM strings JOIN firsts USING (s) WHERE struct_pack(d := doc_id, i := i) > f),
+spans AS (
+  SELECT r, min(i) AS low, max(i) + 100 AS high
+  FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+    SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later))
+  GROUP BY r, run),
+cuts AS (
+  SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed, max(high) AS last,
+    string_agg(substring(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept
+  FROM (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM spans) JOIN docs USING (r)
+  GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cuts USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_jaccard": JACCARD,
     "op3_substrings": SUBSTRINGS,
@@ -164,4 +190,5 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": DECONTAMINATE,
     "op9_chat": CHAT,
     "op10_exact": EXACT,
+    "op12_suffixes": SUFFIXES,
 }

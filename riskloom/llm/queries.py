@@ -15,6 +15,7 @@ from riskloom.llm.lines import fuzzy_lines
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.positional import contamination, phrase_matches
 from riskloom.llm.substrings import remaining, remove_repeats
+from riskloom.llm.suffixes import byte_digests, remove_repeated_bytes
 from riskloom.llm.toxicity import toxicity_scores
 from riskloom.llm.urls import judge_urls
 
@@ -94,6 +95,10 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_digests(remove_repeated_bytes(_table(spark, sf_dir, "documents"), least=100))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lengths": op1_lengths,
     "op2_jaccard": op2_jaccard,
@@ -105,4 +110,5 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_exact": op10_exact,
+    "op12_suffixes": op12_suffixes,
 }
