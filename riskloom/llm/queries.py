@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.alignment import TOKENIZER_A, TOKENIZER_B, align
 from riskloom.llm.chat import chat_digests, format_chats
 from riskloom.llm.digests import exact_groups
 from riskloom.llm.jaccard import jaccard_components
@@ -14,6 +15,7 @@ from riskloom.llm.lengths import TOKENIZER, length_histogram, suffix_sums, token
 from riskloom.llm.lines import fuzzy_lines
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.positional import contamination, phrase_matches
+from riskloom.llm.prefixes import rebuilt_trie
 from riskloom.llm.substrings import remaining, remove_repeats
 from riskloom.llm.suffixes import byte_digests, remove_repeated_bytes
 from riskloom.llm.toxicity import toxicity_scores
@@ -95,10 +97,18 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"), TOKENIZER_A, TOKENIZER_B)
+
+
 def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_digests(remove_repeated_bytes(_table(spark, sf_dir, "documents"), least=100))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lengths": op1_lengths,
     "op2_jaccard": op2_jaccard,
@@ -110,5 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_exact": op10_exact,
+    "op11_alignment": op11_alignment,
     "op12_suffixes": op12_suffixes,
+    "op13_prefixes": op13_prefixes,
 }
