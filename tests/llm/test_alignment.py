@@ -90,7 +90,7 @@ def found(docs):
     return sorted(str(tuple(r)) for r in align(docs).select(*COLUMNS).collect())
 
 
-@pytest.mark.parametrize(("piece", "block", "kept"), [(1 << 15, 6 << 20, 400_000), (64, 6 << 20, 400_000), (7, 300, 3), (1000, 4000, 50)])
+@pytest.mark.parametrize(("piece", "block", "kept"), [(1 << 15, 3 << 20, 300_000), (64, 3 << 20, 300_000), (7, 300, 3), (1000, 4000, 50)])
 def test_against_the_libraries(docs_of, odd_rows, libraries, monkeypatch, piece, block, kept):
     rng = random.Random(3)
     made = ["".join(rng.choice("ab '\n\t.,1é世 e") for _ in range(rng.randint(0, 60))) for _ in range(40)]
@@ -135,6 +135,14 @@ def test_diagonals_cut_equal_work(piece):
         assert common_ends(a, b, piece).tolist() == np.intersect1d(a, b).tolist()
 
 
+def test_texts_are_encoded_run_by_run():
+    with open(TOKENIZER_A, "rb") as a, open(TOKENIZER_B, "rb") as b:
+        encoders = alignment.Encoders(a.read(), b.read(), alignment.PATTERN)
+    assert encoders.by_runs
+    encoders.places(["one two  one", "rare\rspace"])
+    assert set(encoders.known) == {" one", " two", "  one"}
+
+
 def test_no_rows(no_docs):
     assert align(no_docs).count() == 0
 
