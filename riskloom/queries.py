@@ -18,9 +18,8 @@ from riskloom.operators.dockerfile import dockerfile
 from riskloom.operators.secrets import secrets
 from riskloom.plans import reports, summary
 from riskloom.plans.scan import analyze, prepare, scan
-from riskloom.sources import corpora
+from riskloom.sources import archives, corpora
 from riskloom.sources.tables import read_table, spread_small
-from riskloom.sources.trees import expand_archives
 from riskloom.storage import materialize, store
 from riskloom.streaming import arrivals
 
@@ -377,8 +376,8 @@ def read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives packed from the documents, some cut off."""
-    files = expand_archives(corpora.archives_from_documents(spark, sf_dir))
+    """Archives of all documents, and some that are cut off, read in small ranges."""
+    files = archives.read_archives(spark, corpora.archives_from_documents(spark, sf_dir), range_bytes=64 << 10)
     return files.select(
         "repo_id", "path", "size", F.sha2("content", 256).alias("sha256"), F.col("read_error").isNotNull().alias("failed")
     )

@@ -519,7 +519,7 @@ SELECT repo_id, path, 'info' AS severity, 'Error reading file: Permission denied
 FROM docs WHERE length(path) % 2 = 0"""),
     "read_archives": sql(corpora.ARCHIVES_SQL, select="""
 SELECT repo_id, 'texts/' || doc_id || '.txt' AS path, strlen(text) AS size, sha256(text) AS sha256, false AS failed
-FROM packed WHERE NOT cut
-UNION ALL SELECT DISTINCT repo_id, '(archive)', 0, NULL, true FROM packed WHERE cut"""),
+FROM packed
+UNION ALL SELECT DISTINCT 'cut-' || repo_id, '(archive)', 0, NULL, true FROM packed WHERE last"""),
 }
 ORACLES["stream_scan"] = ORACLES["file_score"]

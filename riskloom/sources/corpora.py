@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.archives import shared_system
 from riskloom.sources.tables import files_from_text, read_table, spread_small
+from riskloom.storage import shared_folder
 
 EXTENSIONS = [".py", ".js", ".sh", ".php", ".md"]
 
@@ -129,31 +133,52 @@ docs AS (
 ARCHIVES = 32
 
 
-def archives_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``repo_id, content``: the documents packed into tars, 32 of each source. The last
-    of each source is cut off in its first header."""
+def archives_from_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of tars with all documents, 32 of each source, and of each source a copy
+    of the last one that breaks off in its first header. Rows are streamed into one open
+    archive a task; a new attempt of a task writes anew."""
+    folder = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/archives-{uuid.uuid4().hex}"
     docs = read_table(spark, f"{sf_dir}/documents.parquet").select(
-        "doc_id", F.encode("text", "UTF-8").alias("text"),
+        "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"),
         F.concat_ws("-", "source", (F.col("doc_id") % ARCHIVES).cast("string")).alias("repo_id"),
     )
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        packed = io.BytesIO()
-        with tarfile.open(fileobj=packed, mode="w") as tar:
-            for row in rows.itertuples():
+    def close(tar: tarfile.TarFile, stream, path: str, repo_id: str) -> None:
+        tar.close()
+        stream.close()
+        system, inside = shared_system(folder)
+        if repo_id.endswith(f"-{ARCHIVES - 1}"):
+            with system.open_input_file(path) as whole, system.open_output_stream(f"{inside}/cut-{repo_id}.tar") as cut:
+                cut.write(whole.read(400))
+        system.move(path, f"{inside}/{repo_id}.tar")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inside = shared_system(folder)
+        system.create_dir(inside, recursive=True)
+        now = None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if now is None or now[3] != row.repo_id:
+                    if now:
+                        close(*now)
+                    path = f"{inside}/_{row.repo_id}.{uuid.uuid4().hex}"
+                    stream = system.open_output_stream(path)
+                    now = tarfile.open(fileobj=stream, mode="w|"), stream, path, row.repo_id
                 member = tarfile.TarInfo(f"./texts/{row.doc_id}.txt")
                 member.size = len(row.text)
-                tar.addfile(member, io.BytesIO(row.text))
-        repo_id = rows["repo_id"].iloc[0]
-        cut = 400 if repo_id.endswith(f"-{ARCHIVES - 1}") else None
-        return pd.DataFrame({"repo_id": [repo_id], "content": [packed.getvalue()[:cut]]})
+                now[0].addfile(member, io.BytesIO(row.text))
+            yield pd.DataFrame({"n": [len(batch)]})
+        if now:
+            close(*now)
 
-    return docs.groupBy("repo_id").applyInPandas(pack, "repo_id string, content binary")
+    docs.repartition("repo_id").sortWithinPartitions("repo_id").mapInPandas(pack, "n long").agg(F.sum("n")).first()
+    return folder
 
 
 ARCHIVES_SQL = f"""
 packed AS (
-  SELECT source || '-' || (doc_id % {ARCHIVES}) AS repo_id, doc_id, text, doc_id % {ARCHIVES} = {ARCHIVES - 1} AS cut
+  SELECT source || '-' || (doc_id % {ARCHIVES}) AS repo_id, doc_id, coalesce(text, '') AS text,
+    doc_id % {ARCHIVES} = {ARCHIVES - 1} AS last
   FROM documents
 )"""
 

@@ -1,4 +1,5 @@
-"""Files from repository snapshots: tar archives and directory trees.
+"""Files from repository snapshots: directory trees, and small archives held in cells
+(``riskloom.sources.archives`` reads archives of any size).
 
 Spark's own binary reader must not be pointed at a raw tree: it leaves out names that
 start with ``.`` or ``_`` and follows symbolic links.
@@ -15,15 +16,11 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions.findings import FILES_SCHEMA
-from riskloom.functions.scoring import repo_name
+from riskloom.sources.archives import ARCHIVE_PATH, BATCH_BYTES
 
-BATCH_BYTES = 32 * 1024 * 1024
-#: Stands for an archive that could not be read to its end.
-ARCHIVE_PATH = "(archive)"
 _COLUMNS = ["repo_id", "path", "size", "is_symlink", "content"]
 
 
@@ -69,15 +66,6 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     return archives.select("repo_id", "content").mapInPandas(expand, FILES_SCHEMA + ", read_error string")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One tar (plain or compressed) per repository; ``repo_id`` is the archive's name
-    without its extension. Archives are read in parallel, members one at a time."""
-    return expand_archives(
-        spark.read.format("binaryFile").load(path)
-        .select(F.regexp_replace(repo_name(F.col("path")), r"\.(tar(\.\w+)?|tgz)$", "").alias("repo_id"), "content")
-    )
-
-
 def _walk(repo_id: str, root: str) -> Iterator[tuple]:
     for folder, subfolders, names in os.walk(root):
         subfolders[:] = [d for d in subfolders if d not in rules.SKIP_DIRS]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from riskloom.plans.scan import analyze
 from riskloom.plans.summary import rollup
-from riskloom.sources.trees import read_archives, read_trees
+from riskloom.sources.archives import read_archives
+from riskloom.sources.trees import expand_archives, read_trees
 from riskloom.streaming import arrivals
 
 
@@ -79,3 +80,84 @@ def test_a_broken_archive_is_one_row_with_its_error(spark, tmp_path):
     rows = [(r["repo_id"], r["path"], r["read_error"] is None) for r in read_archives(spark, str(tmp_path)).collect()]
     assert sorted(rows) == [
         ("cut", "(archive)", False), ("cut", "a", True), ("fine", "a", True), ("fine", "b", True), ("none", "(archive)", False)]
+
+
+def big_archive(path, sizes, small=200):
+    """A sparse archive: members of the given sizes, each followed by small ones."""
+    with open(path, "wb") as out:
+        for i, size in enumerate(sizes):
+            info = tarfile.TarInfo(f"big{i}.bin")
+            info.size = size
+            out.write(info.tobuf())
+            out.seek(out.tell() + -(-size // 512) * 512)
+            for k in range(small):
+                data = b"%d-%d" % (i, k)
+                info = tarfile.TarInfo(f"dir{i}/{k}.txt")
+                info.size = len(data)
+                out.write(info.tobuf() + data.ljust(512, b"\0"))
+        out.truncate(out.tell() + 1024)
+
+
+def test_an_archive_over_two_gigabytes_is_read_in_ranges(spark, tmp_path):
+    big_archive(tmp_path / "huge.tar", [1_500_000_000, 900, 1_200_000_000, 20_000_000])
+    assert (tmp_path / "huge.tar").stat().st_size > 2**31
+    files = read_archives(spark, str(tmp_path / "huge.tar"), range_bytes=50_000)
+    got = files.select(
+        "path", "size", F.octet_length("content").alias("n"), F.when(F.col("size") < 900, F.col("content")).alias("c"), "read_error"
+    ).collect()
+    rows = {r["path"]: r for r in got}
+    assert len(got) == len(rows) == 804 and {r["size"] for r in got} >= {1_500_000_000, 1_200_000_000, 20_000_000}
+    assert [rows[f"big{i}.bin"]["read_error"] is None for i in range(4)] == [False, True, False, True]
+    assert rows["big3.bin"]["n"] == 20_000_000 and rows["big0.bin"]["n"] is None
+    assert all(bytes(rows[f"dir{i}/{k}.txt"]["c"]) == b"%d-%d" % (i, k) for i in range(4) for k in range(200))
+
+
+def test_archives_that_break_in_a_later_range(spark, tmp_path):
+    big_archive(tmp_path / "whole.tar", [5000, 5000], small=100)
+    data = (tmp_path / "whole.tar").read_bytes()
+    (tmp_path / "data.tar").write_bytes(data[: 512 + 5120 + 100 * 1024 + 512 + 700])
+    (tmp_path / "header.tar").write_bytes(data[: 512 + 5120 + 50 * 1024 + 100])
+    junk = 512 + 5120 + 30 * 1024
+    (tmp_path / "junk.tar").write_bytes(data[:junk] + b"#" * 4096 + data[junk + 4096 :])
+    (tmp_path / "empty.tar").write_bytes(bytes(10240))
+    (tmp_path / "nothing.tar").write_bytes(b"")
+    for size in (4000, 1 << 30):
+        rows = read_archives(spark, str(tmp_path), range_bytes=size).groupBy("repo_id").agg(
+            F.count_if(F.col("read_error").isNull()).alias("good"), F.count_if(F.col("read_error").isNotNull()).alias("bad"),
+        ).collect()
+        assert {r["repo_id"]: (r["good"], r["bad"]) for r in rows} == {
+            "whole": (202, 0), "data": (101, 1), "header": (51, 1), "junk": (31, 1)}
+
+
+def test_hard_links_reach_into_other_ranges(spark, tmp_path):
+    for name, mode in (("plain.tar", "w"), ("packed.tar.gz", "w:gz")):
+        with tarfile.open(tmp_path / name, mode) as tar:
+            for i in range(50):
+                info = tarfile.TarInfo(f"f{i}")
+                info.size = 2000
+                tar.addfile(info, io.BytesIO(b"%4d" % i * 500))
+            link = tarfile.TarInfo("link")
+            link.type, link.linkname = tarfile.LNKTYPE, "f3"
+            tar.addfile(link)
+            long = tarfile.TarInfo("n" * 300)
+            long.size = 3
+            tar.addfile(long, io.BytesIO(b"end"))
+            lost = tarfile.TarInfo("lost")
+            lost.type, lost.linkname = tarfile.LNKTYPE, "nowhere"
+            tar.addfile(lost)
+    rows = {(r["repo_id"], r["path"]): r for r in read_archives(spark, str(tmp_path), range_bytes=5000).collect()}
+    assert len(rows) == 106
+    for repo in ("plain", "packed"):
+        assert bytes(rows[repo, "link"]["content"]) == b"   3" * 500 and rows[repo, "link"]["size"] == 2000
+        assert bytes(rows[repo, "n" * 300]["content"]) == b"end" and rows[repo, "lost"]["read_error"]
+
+
+def test_archives_in_cells(spark):
+    whole = io.BytesIO()
+    with tarfile.open(fileobj=whole, mode="w") as tar:
+        info = tarfile.TarInfo("./a")
+        info.size = 3
+        tar.addfile(info, io.BytesIO(b"abc"))
+    table = spark.createDataFrame([("x", whole.getvalue()), ("y", b"none"), ("z", None)], "repo_id string, content binary")
+    rows = sorted((r["repo_id"], r["path"], r["read_error"] is None) for r in expand_archives(table).collect())
+    assert rows == [("x", "a", True), ("y", "(archive)", False), ("z", "(archive)", False)]
