@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions.findings import FINDING, FINDINGS, no_findings, rule_table
-from riskloom.functions.text import (
-    SPACE, decode_utf8, line_of_literal, universal_newlines,
-)
+from riskloom.functions.lines import quoted_lines
+from riskloom.functions.text import SPACE, decode_utf8, universal_newlines
 from riskloom.functions.versions import parse_version
 from riskloom.operators.joins import join_measured
 from riskloom.storage import materialize
@@ -43,10 +42,9 @@ def _dependency(ecosystem, package, pinned, line, i) -> Column:
 
 
 def npm_dependencies(text: Column) -> Column:
-    """The ``dependencies`` object, in key order. Lines are looked up only for what is
-    reported, as each lookup reads the text. A text that is not one strict JSON object,
-    and nothing after it, has none: read as the only element of a list, it may not be
-    followed by anything."""
+    """The ``dependencies`` object, in key order; lines come from ``with_lines``. A text
+    that is not one strict JSON object, and nothing after it, has none: read as the only
+    element of a list, it may not be followed by anything."""
     listed = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")), "array<struct<dependencies: map<string,string>>>",
         {"allowSingleQuotes": "false"},
@@ -77,6 +75,13 @@ def parse_manifest(path: Column, text: Column) -> Column:
     )
 
 
+def with_lines(dependencies: Column, lines: Column) -> Column:
+    """npm entries get the line of the first ``"name"`` in the text."""
+    return F.when(lines.isNull(), dependencies).otherwise(
+        F.zip_with(dependencies, lines, lambda d, line: d.withField("line", line))
+    )
+
+
 def _finding(detector, severity, description, line, points) -> Column:
     return F.struct(
         F.lit(detector), F.lit(severity), F.lit("vulnerable_dependency"), description,
@@ -84,14 +89,6 @@ def _finding(detector, severity, description, line, points) -> Column:
     ).cast(FINDING)
 
 
-def _line(dependency: Column, text: Column) -> Column:
-    """npm entries get the line of the first ``"name"`` in the text."""
-    quoted = F.concat(F.lit('"'), dependency["package"], F.lit('"'))
-    return F.when(dependency["ecosystem"] == rules.PYPI, dependency["line"]).when(
-        F.contains(text, quoted), line_of_literal(text, quoted).cast("int")
-    )
-
-
 def _floor_table(floors) -> Column:
     return rule_table(
         [
@@ -104,7 +101,7 @@ def _floor_table(floors) -> Column:
     )
 
 
-def floor_findings(dependencies: Column, text: Column, floors=None) -> Column:
+def floor_findings(dependencies: Column, floors=None) -> Column:
     """``array<struct<ord, finding>>`` for pins below the first good version. The ten
     floors are a constant in the expression, so no join is needed."""
     table = _floor_table(floors or rules.VERSION_FLOORS)
@@ -117,7 +114,7 @@ def floor_findings(dependencies: Column, text: Column, floors=None) -> Column:
         )
         return F.struct(d["ord"].alias("ord"), _finding(
             "floor", "medium", F.when(d["ecosystem"] == rules.NPM, npm).otherwise(pip),
-            _line(d, text), rules.POINTS_FLOOR,
+            d["line"], rules.POINTS_FLOOR,
         ).alias("finding"))
 
     def below(d):
@@ -130,24 +127,28 @@ def floor_findings(dependencies: Column, text: Column, floors=None) -> Column:
     return F.flatten(F.transform(dependencies, below))
 
 
-def advisory_pins(dependencies: Column, text: Column) -> Column:
-    """The dependencies of a manifest with a readable version, with lines."""
+def advisory_pins(dependencies: Column) -> Column:
+    """The dependencies of a manifest with a readable version."""
     pinned = F.filter(dependencies, lambda d: d["version"].isNotNull())
     return F.transform(pinned, lambda d: F.struct(
         d["ecosystem"].alias("ecosystem"), d["package"].alias("package"),
         d["pinned"].alias("pinned"), d["version"].alias("version"),
-        _line(d, text).alias("line"), d["ord"].alias("ord"),
+        d["line"].alias("line"), d["ord"].alias("ord"),
     ))
 
 
 def with_dependencies(rows: DataFrame) -> DataFrame:
     """Replaces ``manifest_text`` by ``dependencies, floor_hits, pins``; NULL where the
-    row is no manifest."""
+    row is no manifest. The lines of all entries of a manifest come from one pass over
+    its text."""
+    npm_text = F.when(F.col("path") == rules.NPM_MANIFEST, F.col("manifest_text"))
     return (
         rows.withColumn("dependencies", parse_manifest(F.col("path"), F.col("manifest_text")))
-        .withColumn("floor_hits", floor_findings(F.col("dependencies"), F.col("manifest_text")))
-        .withColumn("pins", advisory_pins(F.col("dependencies"), F.col("manifest_text")))
-        .drop("manifest_text")
+        .withColumn("npm_lines", quoted_lines(npm_text, F.col("dependencies.package")))
+        .withColumn("dependencies", with_lines(F.col("dependencies"), F.col("npm_lines")))
+        .withColumn("floor_hits", floor_findings(F.col("dependencies")))
+        .withColumn("pins", advisory_pins(F.col("dependencies")))
+        .drop("manifest_text", "npm_lines")
     )
 
 

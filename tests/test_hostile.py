@@ -1,9 +1,14 @@
 """Hostile input must neither hang nor crash a task."""
 
+import json
+import random
 import time
 
+from riskloom.functions.lines import first_lines
+from riskloom.operators import dependencies as deps
 from riskloom.operators.paths import ignore_lists
 from riskloom.plans.scan import analyze
+from pyspark.sql import functions as F
 
 TEXTS = {
     "get.txt": "requests.get" * 20_000,
@@ -37,3 +42,27 @@ def test_hostile_texts(make_files):
     unpinned = [f["line"] for f in rows["e/Dockerfile"]["findings"] if f["category"].endswith("base_image")]
     assert unpinned == [1]
     assert [f["line"] for f in rows["d/Dockerfile"]["findings"] if f["category"].endswith("add_vs_copy")] == [3]
+
+
+def test_manifests_of_many_pins_are_linear(spark, make_files):
+    pins = {f"package-{i}": f"1.{i}.0" for i in range(20_000)}
+    npm = json.dumps({"name": "x", "dependencies": pins | {"axios": "0.1.0"}}, indent=1)
+    pip = "\n".join([f"{name}=={version}" for name, version in pins.items()] + ["requests==1.0"])
+    files = make_files(("npm", "package.json", npm), ("pip", "requirements.txt", pip))
+    deps.manifests(files.limit(0)).count()  # started workers
+    start = time.perf_counter()
+    rows = {r["repo_id"]: r for r in deps.manifests(files).select("repo_id", "floor_hits", F.size("pins").alias("n"), F.element_at("pins.line", -2).alias("line")).collect()}
+    assert time.perf_counter() - start < 5
+    assert rows["npm"]["n"] == rows["pip"]["n"] == 20_001
+    assert [rows[r]["floor_hits"][0]["finding"]["line"] for r in ("npm", "pip")] == [20_004, 20_001]
+    assert rows["npm"]["line"] == 20_003 and rows["pip"]["line"] == 20_000
+
+
+def test_first_lines_equal_a_plain_search():
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choice('ab""\n:') for _ in range(rng.randint(0, 40)))
+        names = ["".join(rng.choice('ab\n"') for _ in range(rng.randint(0, 2))) for _ in range(6)] + ["a", "a"]
+        want = [text.count("\n", 0, at) + 1 if (at := text.find(f'"{n}"')) >= 0 else None for n in names]
+        assert first_lines(text, names) == want
+    assert first_lines(None, ["a"]) is None and first_lines("a", None) is None and first_lines("", []) == []
