@@ -1,7 +1,7 @@
 """Content-risk engine on Spark: scan tables of files, score them, report per repository."""
 
-from riskloom.plans.reports import export_reports
+from riskloom.plans.exports import export_all, export_reports
 from riskloom.plans.scan import scan
 from riskloom.plans.summary import repo_summary, verdicts
 
-__all__ = ["scan", "repo_summary", "verdicts", "export_reports"]
+__all__ = ["scan", "repo_summary", "verdicts", "export_all", "export_reports"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,11 @@ from riskloom.operators import dependencies as deps
 from riskloom.operators import encoding, patterns, paths
 from riskloom.operators.dockerfile import dockerfile
 from riskloom.operators.secrets import secrets
-from riskloom.plans import reports, summary
+from riskloom.plans import exports, reports, summary
 from riskloom.plans.scan import analyze, prepare, scan
 from riskloom.sources import archives, corpora
 from riskloom.sources.tables import read_table, spread_small
-from riskloom.storage import materialize, store
+from riskloom.storage import materialize, shared_folder, store
 from riskloom.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,6 +301,13 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in all formats, written as files and read back from them."""
+    folder = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/reports-{uuid.uuid4().hex}"
+    exports.export_all(scanned_corpus(spark, sf_dir), folder)
+    return exports.read_back(spark, folder)
+
+
 SARIF_SCHEMA = (
     "runs array<struct<results: array<struct<ruleId: string, level: string, message: struct<text: string>, "
     "locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, "
@@ -440,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "sarif_rules": sarif_rules,
     "csv_rows": csv_rows,
     "findings_export": findings_export,
+    "export_files": export_files,
     "oversize": oversize,
     "high_entropy": high_entropy,
     "read_errors": read_errors,

@@ -1,6 +1,7 @@
 """Roll-up, ranking, reports."""
 
 import csv
+import io
 import json
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import scoring as S
 from riskloom.functions.findings import FINDINGS
 from riskloom.operators.topk import top_k
-from riskloom.plans import reports, summary
+from riskloom.plans import exports, reports, summary
 
 RESULTS = f"repo_id string, path string, findings {FINDINGS}, risk_score double"
 
@@ -117,28 +118,70 @@ def test_repo_names(spark):
     assert {r[0]: r[1] for r in df.select("u", S.repo_name(F.col("u"))).collect()} == names
 
 
-def test_export(spark, results, tmp_path):
-    repo = summary.repo_summary(results)
-    assert reports.export_reports(repo, None) == []
+def document(path, repo):
+    """The part files of a repository, put together in order of name."""
+    return "".join(p.read_text() for p in sorted((path / f"repo_id={repo}").glob("part-*")))
+
+
+def test_export(results, tmp_path):
+    assert exports.export_reports(results, None) == []
     (tmp_path / "taken.csv").mkdir()
     paths = [str(tmp_path / n) for n in ("R.JSON", "r.txt", "taken.csv", "r.csv", "r.sarif")]
-    done = reports.export_reports(repo, paths)
+    done = exports.export_reports(results, paths)
     assert [(e.path, e.format, e.state) for e in done] == list(zip(
         paths, ["json", "txt", "csv", "csv", "sarif"], ["written", "unsupported", "failed", "written", "written"], strict=True))
     assert [e.error is not None for e in done] == [False, False, True, False, False]
-    assert [e.state for e in reports.export_reports(repo, ["x.doc"])] == ["unsupported"]
-    rows = {d["repo_name"]: d for d in map(json.loads, (r["value"] for r in spark.read.text(paths[0]).collect()))}
-    assert rows["a"]["findings"][0] == {
+    assert [e.state for e in exports.export_reports(results, ["x.doc"])] == ["unsupported"]
+    reports_ = {r: json.loads(document(tmp_path / "R.JSON", r)) for r in "abc"}
+    assert reports_["a"]["findings"][0] == {
         "file": "z.py", "severity": "critical", "category": "secret", "description": "worse", "line": None}
-    assert rows["b"]["findings_count"] == 1 and len(rows["b"]["cautions"]) == 50
-    table = spark.read.option("header", True).csv(paths[3])
-    hard = repo.filter("repo_id = 'a'").withColumn("findings", F.transform("findings", lambda f: f.withField(
-        "path", F.lit(" a,b ")).withField("description", F.lit('say "hi"\\ '))))
-    reports.write_csv(hard, str(tmp_path / "hard.csv"))
-    (part,) = [p for p in (tmp_path / "hard.csv").glob("part-*") if p.stat().st_size]
-    with part.open(newline="") as file:
-        read = list(csv.DictReader(file))
-    assert read[0]["File"] == " a,b " and read[0]["Description"] == 'say "hi"\\ '
-    assert table.columns == ["Repository", "File", "Line", "Severity", "Category", "Description"]
-    assert table.filter("Repository = 'a'").count() == 4
-    assert spark.read.text(paths[4]).count() == 3
+    assert [f["severity"] for f in reports_["a"]["findings"]] == ["critical", "medium", "low"]
+    assert reports_["b"]["findings_count"] == 1 and [c["description"] for c in reports_["b"]["cautions"]] == [f"n{i}" for i in range(60)]
+    assert reports_["c"]["findings"] == reports_["c"]["cautions"] == [] and reports_["c"]["risk_level"] == "safe"
+    rows = list(csv.reader(io.StringIO(document(tmp_path / "r.csv", "a"))))
+    assert rows[0] == ["File", "Line", "Severity", "Category", "Description"] and len(rows) == 5
+    assert len(document(tmp_path / "r.csv", "b").splitlines()) == 62
+    run = json.loads(document(tmp_path / "r.sarif", "a"))["runs"][0]
+    assert [(r["id"], r["defaultConfiguration"]["level"]) for r in run["tool"]["driver"]["rules"]] == [
+        ("secret", "error"), ("c", "warning"), ("long_line", "note")]
+    assert [r["level"] for r in run["results"]] == ["error", "warning", "note", "note"]
+    assert "region" not in run["results"][0]["locations"][0]["physicalLocation"]
+
+
+def test_export_of_odd_texts(spark, tmp_path):
+    odd = [finding("info", "x", 'say "hi"\\ \n,'), finding("low", "y_z", "\u2028 \u00e9 \t")]
+    results = spark.createDataFrame([("d/e f", ' a,"b ', odd, 9.0), ("same", "p", odd[:1], 1.0), ("same", "p", odd[:1], 1.0)], RESULTS)
+    exports.export_all(results, str(tmp_path / "all"), scan_root="/tmp")
+    folder = lambda f: tmp_path / "all" / f"format={f}"
+    report = json.loads(document(folder("json"), "d%2Fe f"))
+    assert [f["description"] for f in report["findings"] + report["cautions"]] == ["\u2028 \u00e9 \t", 'say "hi"\\ \n,']
+    rows = list(csv.DictReader(io.StringIO(document(folder("csv"), "d%2Fe f"), newline="")))
+    assert rows[1]["File"] == ' a,"b ' and rows[1]["Description"] == 'say "hi"\\ \n,'
+    log = json.loads(document(folder("sarif"), "d%2Fe f"))
+    assert [r["id"] for r in log["runs"][0]["tool"]["driver"]["rules"]] == ["y_z", "x"] and log["version"] == "2.1.0"
+    # rows that repeat are entries of their own
+    assert len(json.loads(document(folder("json"), "same"))["cautions"]) == 2
+
+
+def test_a_repository_of_many_findings_is_split_and_whole(spark, tmp_path):
+    many = spark.range(0, 1000, 1, 8).selectExpr("id", "'hot' as repo_id", "concat('f', lpad(id, 4, '0'), '.py') as path").select(
+        "repo_id", "path", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(
+            F.lit("det"), F.when(i % 3 == 0, "high").when(i % 3 == 1, "low").otherwise("info"), F.lit("c"),
+            F.concat(F.lit("n "), F.col("id").cast("string"), F.lit(" "), i.cast("string")), F.lit(None), i, F.lit(1),
+        )).cast(FINDINGS).alias("findings"), F.lit(50.0).alias("risk_score"))
+    few = spark.createDataFrame([("cold", "a.py", [finding("low")], 3.0)], RESULTS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = exports.export_reports(many.unionByName(few), [str(tmp_path / n) for n in ("r.json", "r.csv", "r.sarif")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [e.state for e in done] == ["written"] * 3
+    assert len(list((tmp_path / "r.json" / "repo_id=hot").glob("part-*"))) > 1
+    report = json.loads(document(tmp_path / "r.json", "hot"))
+    assert (len(report["findings"]), len(report["cautions"])) == (67_000, 33_000)
+    rank = {"high": 0, "low": 1}
+    order = [(rank[f["severity"]], f["file"], f["line"]) for f in report["findings"]]
+    assert order == sorted(order) and len(set(order)) == 67_000
+    assert len(json.loads(document(tmp_path / "r.sarif", "hot"))["runs"][0]["results"]) == 100_000
+    assert len(document(tmp_path / "r.csv", "hot").splitlines()) == 100_001
+    assert json.loads(document(tmp_path / "r.json", "cold"))["findings_count"] == 1
