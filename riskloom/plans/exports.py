@@ -3,14 +3,20 @@
 A report holds every finding and caution of a repository, and a repository may hold a
 third of all of them. So no report is ever one string: it is a sequence of lines. All
 findings are sorted once, by ranges, which may split a repository; each task then writes
-the lines of its range, in order, to one part file for each repository and format. The
-part files of a repository, in order of name, are the report:
+the lines of its range, in order, to a part file for each format. The part files, in order
+of name, are the reports:
 
-    cat report.json/repo_id=a/part-* | jq .findings
+* JSON and SARIF 2.1.0: a JSON text sequence (RFC 7464), one document a repository, each
+  after a record separator: ``cat report.json/part-* | jq --seq .findings``
+* CSV: one table with a column ``Repository`` and one header.
 
-Three formats come from the same sorted rows: a JSON object, CSV with a header, and a
-SARIF 2.1.0 log. The lines that open, divide and close a document are rows too, sorted to
-their places, so nothing is put together outside of Spark's own text writer.
+So there are as many files as tasks, however many repositories. Where these are few,
+``by_repo`` writes a folder ``repo_id=<repository>`` for each instead, whose part files are
+one plain document (CSV: one table without the column).
+
+All formats come from the same sorted rows. The lines that open, divide and close a
+document are rows too, sorted to their places, so nothing is put together outside of
+Spark's own text writer.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ CSV_COLUMNS = ["File", "Line", "Severity", "Category", "Description"]
 _CSV_OPTIONS = {
     "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "",
 }
+#: Stands before each document of a JSON text sequence (a fixed value).
+RECORD = "\x1e"
 #: Places of the lines of a document: findings and cautions come after what opens them.
 OPENS, FINDINGS, DIVIDES, CAUTIONS, CLOSES = range(5)
 _ORDER = ["repo_id", "stage", "severity_rank", "File", "position", "row"]
@@ -60,7 +68,7 @@ def _string(value: Column) -> Column:
 
 def report_lines(
     results: DataFrame, formats: tuple[str, ...] = FORMATS, scan_root: str = "", repo_url: Column | None = None,
-    scan_duration: Column | None = None,
+    scan_duration: Column | None = None, by_repo: bool = False,
 ) -> DataFrame:
     """``repo_id, stage, severity_rank, File, position, row`` (the order of lines) and one
     column of text for each format, null where a format has no line there.
@@ -96,23 +104,31 @@ def report_lines(
     )
     line_of = {
         "json": comma(begins, _keep_nulls(entry)),
-        "csv": F.to_csv(F.struct(*(F.col(c).cast("string") for c in CSV_COLUMNS)), _CSV_OPTIONS),
+        "csv": F.to_csv(F.struct(*(F.col(c).cast("string") for c in [*([] if by_repo else ["repo_id"]), *CSV_COLUMNS])), _CSV_OPTIONS),
         "sarif": comma(begins_all, F.to_json(result)),
     }
     order = [F.col(c) for c in _ORDER]
     entries = ordered.select(*order, *(line_of[f].alias(f) for f in formats))
-    frames = _frames(results, found, repo_url, scan_duration)
+    frames = _frames(results, found, repo_url, scan_duration, by_repo)
     none = F.lit(None)
     rows = frames.select(
         "repo_id", "stage", none.cast("int").alias("severity_rank"), none.cast("string").alias("File"),
         none.cast("int").alias("position"), none.cast("long").alias("row"), *formats,
     )
+    if not by_repo and "csv" in formats:  # the one header, before all repositories
+        header = F.lit(",".join(["Repository", *CSV_COLUMNS]))
+        first_row = results.sparkSession.range(1).select(
+            none.cast("string").alias("repo_id"), F.lit(OPENS).alias("stage"),
+            *(header.alias(f) if f == "csv" else none.cast("string").alias(f) for f in formats),
+        )
+        rows = rows.unionByName(first_row, allowMissingColumns=True)
     return entries.unionByName(rows)
 
 
-def _frames(results: DataFrame, found: DataFrame, repo_url: Column | None, scan_duration: Column | None) -> DataFrame:
+def _frames(results: DataFrame, found: DataFrame, repo_url: Column | None, scan_duration: Column | None, by_repo: bool) -> DataFrame:
     """The lines that open, divide and close the documents of each repository."""
     totals = rollup(results)
+    mark = "" if by_repo else RECORD
     head = _keep_nulls(F.struct(
         F.col("repo_id").alias("repo_name"),
         (F.lit(None).cast("string") if repo_url is None else repo_url).alias("repo_url"),
@@ -134,16 +150,19 @@ def _frames(results: DataFrame, found: DataFrame, repo_url: Column | None, scan_
         F.coalesce(F.to_json(F.col("rules.rule")), F.lit("[]")).alias("rules"),
     )
     tool = F.concat(
-        F.lit('{"$schema":'), _string(F.lit(rules.SARIF_SCHEMA)), F.lit(f',"version":"{rules.SARIF_VERSION}",'),
+        F.lit(mark + '{"$schema":'), _string(F.lit(rules.SARIF_SCHEMA)), F.lit(f',"version":"{rules.SARIF_VERSION}",'),
         F.lit(f'"runs":[{{"tool":{{"driver":{{"name":"{reports.TOOL_NAME}","version":"{reports.TOOL_VERSION}","rules":'),
-        F.col("rules"), F.lit('}},"results":['),
+        F.col("rules"), F.lit('}},"automationDetails":{"id":'), _string(F.col("repo_id")), F.lit('},"results":['),
     )
     none = F.lit(None).cast("string")
     frame = lambda stage, json, csv, sarif: F.struct(
         F.lit(stage).alias("stage"), json.alias("json"), csv.alias("csv"), sarif.alias("sarif")
     )
     return per_repo.select("repo_id", F.inline(F.array(
-        frame(OPENS, F.concat("head", F.lit(',"findings":[')), F.lit(",".join(CSV_COLUMNS)), tool),
+        frame(
+            OPENS, F.concat(F.lit(mark), "head", F.lit(',"findings":[')),
+            F.lit(",".join(CSV_COLUMNS)) if by_repo else none, tool,
+        ),
         frame(DIVIDES, F.lit('],"cautions":['), none, none),
         frame(CLOSES, F.lit("]}"), none, F.lit("]}]}")),
     )))
@@ -154,21 +173,24 @@ def _sorted(lines: DataFrame) -> DataFrame:
     return lines.repartitionByRange(*_ORDER)
 
 
-def export_all(results: DataFrame, folder: str, formats: tuple[str, ...] = FORMATS, **options) -> None:
-    """All formats in one pass over the sorted findings: ``folder/format=<format>/
-    repo_id=<repository>/part-*``, committed together."""
-    lines = _sorted(report_lines(results, formats, **options))
+def export_all(
+    results: DataFrame, folder: str, formats: tuple[str, ...] = FORMATS, by_repo: bool = False, **options
+) -> None:
+    """All formats in one pass over the sorted findings, committed together:
+    ``folder/format=<format>/part-*``, or with ``by_repo`` a folder of each repository in
+    these. ``options`` are those of ``report_lines``."""
+    lines = _sorted(report_lines(results, formats, by_repo=by_repo, **options))
     each = F.array(*(F.struct(F.lit(f).alias("format"), F.col(f).alias("line")) for f in formats))
     rows = lines.select(*_ORDER, F.inline(each)).where("line is not null")
+    folders = ["format", "repo_id"] if by_repo else ["format"]
     # in the order that the writer wants, so that it doesn't sort again
-    rows.sortWithinPartitions("format", *_ORDER).select("format", "repo_id", "line").write.partitionBy(
-        "format", "repo_id"
-    ).text(folder)
+    rows.sortWithinPartitions("format", *_ORDER).select(*folders, "line").write.partitionBy(*folders).text(folder)
 
 
-def export_reports(results: DataFrame, paths: list[str] | None, **options) -> list[Export]:
-    """Each path in the format of its extension (any case), a folder with the part files
-    of each repository. The lines of all formats are made and sorted once, and stored; a
+def export_reports(
+    results: DataFrame, paths: list[str] | None, by_repo: bool = False, **options
+) -> list[Export]:
+    """Each path in the format of its extension (any case), a folder of part files. The lines of all formats are made and sorted once, and stored; a
     path then takes its own column of them. One that cannot be written keeps none of the
     others back. ``options`` are those of ``report_lines``."""
     wanted = [(path, posixpath.splitext(path)[1].lower().removeprefix(".")) for path in paths or ()]
@@ -177,7 +199,7 @@ def export_reports(results: DataFrame, paths: list[str] | None, **options) -> li
         return [Export(path, kind, "unsupported") for path, kind in wanted]
     # the number of its range keeps a stored line in its place when files are read anew
     stored = materialize(
-        _sorted(report_lines(results, formats, **options)).withColumn("part", F.spark_partition_id())
+        _sorted(report_lines(results, formats, by_repo=by_repo, **options)).withColumn("part", F.spark_partition_id())
     )
     parts = stored.agg(F.max("part")).first()[0] or 0
 
@@ -187,7 +209,10 @@ def export_reports(results: DataFrame, paths: list[str] | None, **options) -> li
         own = stored.where(F.col(kind).isNotNull()).select("part", *_ORDER, F.col(kind).alias("line"))
         placed = own.repartitionByRange(parts + 1, "part").sortWithinPartitions(*_ORDER)
         try:
-            placed.select("repo_id", "line").write.partitionBy("repo_id").text(path)
+            if by_repo:
+                placed.select("repo_id", "line").write.partitionBy("repo_id").text(path)
+            else:
+                placed.select("line").write.text(path)
         except Exception as error:  # whatever a sink may raise
             return Export(path, kind, "failed", str(error))
         return Export(path, kind, "written")
@@ -197,7 +222,7 @@ def export_reports(results: DataFrame, paths: list[str] | None, **options) -> li
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """``format, repo_id, file, line, level, category, description``: the entries of the
-    reports that ``export_all`` wrote, parsed line by line, so texts may hold no line end.
+    reports that ``export_all`` wrote ``by_repo``, parsed line by line, so texts may hold no line end.
     Part files after the first of a repository have no header, so the CSV reader's own
     handling of it would not do."""
     lines = spark.read.text(folder).withColumn("value", F.regexp_replace("value", r"^,(?=\{)", ""))

@@ -302,9 +302,11 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings in all formats, written as files and read back from them."""
+    """All findings of documents and build files, written in all formats to a folder of
+    each repository, and read back from there."""
     folder = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/reports-{uuid.uuid4().hex}"
-    exports.export_all(scanned_corpus(spark, sf_dir), folder)
+    files = corpora.documents_with_payloads(spark, sf_dir).unionByName(corpora.dockerfiles_from_orders(spark, sf_dir))
+    exports.export_all(scan(files), folder, by_repo=True)
     return exports.read_back(spark, folder)
 
 

@@ -500,9 +500,9 @@ FROM (SELECT repo_id, path, ord, severity, category, description, pattern, line,
   UNION ALL SELECT repo_id, path, ord, severity, category, description, pattern, line, points FROM dep_found)"""),
     "export_files": sql(*FULL, select=f"""
 SELECT format, repo_id, path AS file, line, severity AS level, category, description
-FROM result_findings, (VALUES ('csv'), ('json')) f(format)
+FROM result_findings, (VALUES ('csv'), ('json')) f(format) WHERE NOT starts_with(repo_id, 'order_')
 UNION ALL SELECT 'sarif', repo_id, replace(path, chr(92), '/'), line, {_sarif_level('severity')}, category, description
-FROM result_findings"""),
+FROM result_findings WHERE NOT starts_with(repo_id, 'order_')"""),
     "sarif_log": sql(*FULL, RANKED, LISTED, select=f"""
 SELECT repo_id, position, category AS rule_id, {_sarif_level('severity')} AS level, description AS message,
   replace(path, chr(92), '/') AS uri, line FROM listed"""),

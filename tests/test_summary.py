@@ -127,7 +127,7 @@ def test_export(results, tmp_path):
     assert exports.export_reports(results, None) == []
     (tmp_path / "taken.csv").mkdir()
     paths = [str(tmp_path / n) for n in ("R.JSON", "r.txt", "taken.csv", "r.csv", "r.sarif")]
-    done = exports.export_reports(results, paths)
+    done = exports.export_reports(results, paths, by_repo=True)
     assert [(e.path, e.format, e.state) for e in done] == list(zip(
         paths, ["json", "txt", "csv", "csv", "sarif"], ["written", "unsupported", "failed", "written", "written"], strict=True))
     assert [e.error is not None for e in done] == [False, False, True, False, False]
@@ -151,7 +151,7 @@ def test_export(results, tmp_path):
 def test_export_of_odd_texts(spark, tmp_path):
     odd = [finding("info", "x", 'say "hi"\\ \n,'), finding("low", "y_z", "\u2028 \u00e9 \t")]
     results = spark.createDataFrame([("d/e f", ' a,"b ', odd, 9.0), ("same", "p", odd[:1], 1.0), ("same", "p", odd[:1], 1.0)], RESULTS)
-    exports.export_all(results, str(tmp_path / "all"), scan_root="/tmp")
+    exports.export_all(results, str(tmp_path / "all"), by_repo=True, scan_root="/tmp")
     folder = lambda f: tmp_path / "all" / f"format={f}"
     report = json.loads(document(folder("json"), "d%2Fe f"))
     assert [f["description"] for f in report["findings"] + report["cautions"]] == ["\u2028 \u00e9 \t", 'say "hi"\\ \n,']
@@ -176,12 +176,16 @@ def test_a_repository_of_many_findings_is_split_and_whole(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [e.state for e in done] == ["written"] * 3
-    assert len(list((tmp_path / "r.json" / "repo_id=hot").glob("part-*"))) > 1
-    report = json.loads(document(tmp_path / "r.json", "hot"))
+    assert len(list((tmp_path / "r.json").glob("part-*"))) > 2
+    whole = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    first, cold, report = whole("r.json").split("\x1e")
+    cold, report = json.loads(cold), json.loads(report)
+    assert not first and (cold["repo_name"], cold["findings_count"], report["repo_name"]) == ("cold", 1, "hot")
     assert (len(report["findings"]), len(report["cautions"])) == (67_000, 33_000)
     rank = {"high": 0, "low": 1}
     order = [(rank[f["severity"]], f["file"], f["line"]) for f in report["findings"]]
     assert order == sorted(order) and len(set(order)) == 67_000
-    assert len(json.loads(document(tmp_path / "r.sarif", "hot"))["runs"][0]["results"]) == 100_000
-    assert len(document(tmp_path / "r.csv", "hot").splitlines()) == 100_001
-    assert json.loads(document(tmp_path / "r.json", "cold"))["findings_count"] == 1
+    log = json.loads(whole("r.sarif").split("\x1e")[2])
+    assert len(log["runs"][0]["results"]) == 100_000 and log["runs"][0]["automationDetails"] == {"id": "hot"}
+    rows = list(csv.reader(io.StringIO(whole("r.csv"))))
+    assert len(rows) == 100_002 and rows[0][:2] == ["Repository", "File"] and {r[0] for r in rows[1:]} == {"cold", "hot"}
