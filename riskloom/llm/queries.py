@@ -20,6 +20,7 @@ from riskloom.llm.substrings import remaining, remove_repeats
 from riskloom.llm.suffixes import byte_digests, remove_repeated_bytes
 from riskloom.llm.toxicity import toxicity_scores
 from riskloom.llm.urls import judge_urls
+from riskloom.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +55,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def op1_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     counter = token_counter(spark, TOKENIZER)
-    return suffix_sums(length_histogram(_table(spark, sf_dir, "documents"), counter))
+    # stored, as the sums read it twice
+    return suffix_sums(materialize(length_histogram(_table(spark, sf_dir, "documents"), counter)))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
