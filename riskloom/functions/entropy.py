@@ -35,6 +35,19 @@ def entropy(content: Column, sample_bytes: int = 0) -> Column:
     return of_bytes(F.substring(content, 1, sample_bytes) if sample_bytes > 0 else content)
 
 
+def byte_counts(content: Column) -> Column:
+    """How often each of the 256 byte values occurs; NULL stays NULL. Counts of parts add
+    up to the counts of the whole."""
+
+    @F.pandas_udf("array<bigint>")
+    def count(batch: pd.Series) -> pd.Series:
+        return batch.map(
+            lambda data: np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256), na_action="ignore"
+        )
+
+    return count(content)
+
+
 def may_have_high_entropy(content: Column) -> Column:
     """False only where entropy cannot exceed the limit of 7.5 bits: n bytes hold at
     most log2(n) bits, and ASCII at most 7."""

@@ -131,6 +131,8 @@ def dockerfile(text: Column, name: Column) -> Column:
         return F.concat(per_line, no_user)
 
     hits = F.when(is_dockerfile(name), let(F.split(text, "\n"), scan))
-    return to_findings("dockerfile", hits, lambda found: F.when(
-        total_points(found) >= rules.DOCKER_MEDIUM_FROM, "medium"
-    ).otherwise("low"))
+    return to_findings("dockerfile", hits, dockerfile_severity)
+
+
+def dockerfile_severity(hits: Column) -> Column:
+    return F.when(total_points(hits) >= rules.DOCKER_MEDIUM_FROM, "medium").otherwise("low")

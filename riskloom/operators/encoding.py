@@ -26,27 +26,28 @@ def base64_shaped(text: Column) -> Column:
     )
 
 
-def base64_runs(text: Column) -> Column:
+def base64_runs(text: Column, few: int = rules.BASE64_FEW) -> Column:
     """``struct<n, first>`` over the shaped runs with an entropy of 4.5 bits or more.
 
     Two or fewer candidates can never be reported, so their text stays in the JVM.
     """
     shaped = base64_shaped(text)
-    return high_entropy_runs(F.when(F.size(shaped) > rules.BASE64_FEW, shaped))
+    return high_entropy_runs(F.when(F.size(shaped) > few, shaped))
 
 
-def base64_findings(text: Column, folded: Column, runs: Column) -> Column:
-    """``runs`` is the result of :func:`base64_runs`. Medium above 20 points in all."""
-    many = runs["n"] > rules.BASE64_MANY
-    counted = hits_if((runs["n"] > rules.BASE64_FEW, hit(
+def counted_runs(n: Column, line: Column) -> Column:
+    """The hit for ``n`` runs, the first of them on ``line``."""
+    many = n > rules.BASE64_MANY
+    return hits_if((n > rules.BASE64_FEW, hit(
         "encoding",
-        F.concat(
-            F.when(many, "Multiple base64 strings: ").otherwise("Base64 strings: "),
-            runs["n"].cast("string"),
-        ),
-        line=line_of_literal(text, runs["first"]),
+        F.concat(F.when(many, "Multiple base64 strings: ").otherwise("Base64 strings: "), n.cast("string")),
+        line=line,
         points=F.when(many, rules.POINTS_BASE64_MANY).otherwise(rules.POINTS_BASE64_FEW),
     )))
+
+
+def base64_calls(text: Column, folded: Column) -> Column:
+    """The hits for base64 functions, each at its first line."""
     calls = rule_table(
         [dict(zip(("literal", "description", "points"), call)) for call in rules.BASE64_CALLS],
         "literal:string,description:string,points:int",
@@ -57,12 +58,19 @@ def base64_findings(text: Column, folded: Column, runs: Column) -> Column:
     called = F.filter(calls, lambda c: (
         F.contains(folded, c["literal"]) & F.contains(lowered, c["literal"])
     ))
-    hits = F.concat(counted, F.transform(called, lambda c: hit(
+    return F.transform(called, lambda c: hit(
         "encoding", c["description"], line=line_of_literal(lowered, c["literal"]), points=c["points"],
-    )))
-    return to_findings("base64", hits, lambda found: F.when(
-        total_points(found) > rules.MEDIUM_ABOVE, "medium"
-    ).otherwise("low"))
+    ))
+
+
+def encoding_severity(hits: Column) -> Column:
+    return F.when(total_points(hits) > rules.MEDIUM_ABOVE, "medium").otherwise("low")
+
+
+def base64_findings(text: Column, folded: Column, runs: Column) -> Column:
+    """``runs`` is the result of :func:`base64_runs`. Medium above 20 points in all."""
+    counted = counted_runs(runs["n"], line_of_literal(text, runs["first"]))
+    return to_findings("base64", F.concat(counted, base64_calls(text, folded)), encoding_severity)
 
 
 def high_entropy(entropy: Column) -> Column:

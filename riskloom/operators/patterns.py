@@ -60,9 +60,11 @@ def malicious(folded: Column, patterns: dict[str, list[str]] | None = None) -> C
         r["category"], F.concat(F.lit("Malicious pattern: "), r["pattern"]), r["pattern"],
         _first_line(folded, r), rules.POINTS_PATTERN,
     ))
-    return to_findings("malicious", hits, lambda found: F.when(
-        F.size(found) * rules.POINTS_PATTERN > rules.MEDIUM_ABOVE, "medium"
-    ).otherwise("low"))
+    return to_findings("malicious", hits, malicious_severity)
+
+
+def malicious_severity(hits: Column) -> Column:
+    return F.when(F.size(hits) * rules.POINTS_PATTERN > rules.MEDIUM_ABOVE, "medium").otherwise("low")
 
 
 def network(folded: Column, patterns: list[tuple[str, str]] | None = None) -> Column:

@@ -6,6 +6,7 @@ array on the file's row until the score is known.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import lru_cache
 
 from pyspark import SparkContext
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from riskloom import rules
 from riskloom.functions import entropy as E
 from riskloom.functions import text as T
-from riskloom.functions.findings import capped_score, hit, hits_if, no_findings, to_findings
+from riskloom.functions.findings import capped_score, hit, hits_if, no_findings, or_none, to_findings
 from riskloom.operators import dependencies as deps
 from riskloom.operators import encoding, patterns
 from riskloom.operators.dockerfile import dockerfile
@@ -24,30 +25,38 @@ from riskloom.operators.secrets import secrets
 from riskloom.storage import materialize
 
 
-def prepare(files: DataFrame, entropy_of: str = "all", max_bytes: int | None = None) -> DataFrame:
+def prepare(
+    files: DataFrame, entropy_of: str = "all", max_bytes: int | None = None, few_runs: int = rules.BASE64_FEW,
+) -> DataFrame:
     """Classify and decode: adds ``name, file_type, is_binary, entropy, text, folded,
     runs``.
 
     ``text`` is NULL for binary files, and for files over ``max_bytes`` if that is
     given, which no detector reads then. ``entropy_of="candidates"`` measures only files
-    whose entropy can exceed the limit; the others stay NULL.
+    whose entropy can exceed the limit; the others stay NULL. ``"counts"`` gives the counts
+    of the byte values in its place.
+
+    A ``head`` column, the first bytes of the file that the content is a part of, tells
+    binary files and UTF-16 in place of the content. ``few_runs`` or less base64 runs are
+    not counted.
     """
     content, utf16 = F.col("content"), F.col("utf16")
-    probe = content if entropy_of == "all" else F.when(E.may_have_high_entropy(content), content)
+    head = F.col("head") if "head" in files.columns else content
+    probe = F.when(E.may_have_high_entropy(content), content) if entropy_of == "candidates" else content
     readable = files.withColumns({
         "name": T.file_name(F.col("path")),
         "file_type": T.file_type(F.col("path")),
         "content": content if max_bytes is None else F.when(F.col("size") <= max_bytes, content),
     })
     decoded = readable.withColumn("plain", F.when(
-        ~T.has_utf16_mark(content) & ~T.is_binary(content),
+        ~T.has_utf16_mark(head) & ~T.is_binary(head),
         T.universal_newlines(T.decode_utf8(content)),
     ))
     measured = decoded.withColumns({
-        "entropy": E.entropy(probe),
-        "utf16": E.utf16(F.when(T.has_utf16_mark(content), content)),
-        "runs": encoding.base64_runs(F.col("plain")),
-    }).drop("content")
+        "entropy": E.byte_counts(content) if entropy_of == "counts" else E.entropy(probe),
+        "utf16": E.utf16(F.when(T.has_utf16_mark(head), content)),
+        "runs": encoding.base64_runs(F.col("plain"), few_runs),
+    }).drop("content", "head")
     text = measured.withColumn(
         "text", F.coalesce(F.col("plain"), T.universal_newlines(utf16["text"]))
     )
@@ -60,25 +69,43 @@ def prepare(files: DataFrame, entropy_of: str = "all", max_bytes: int | None = N
     }).drop("plain", "utf16")
 
 
-@lru_cache(maxsize=1)
-def _text_findings(_context) -> list[Column]:
+Detector = Callable[[], Column]
+
+
+def detectors(
+    malicious: Mapping[str, list[str]] | None = None,
+    dangerous: Mapping[str, list[str]] | None = None,
+    network: list[tuple[str, str]] | None = None,
+    secret: Mapping[str, str] | None = None,
+) -> dict[str, Detector]:
+    """All detectors in report order, by name, with the built-in rules where none are given.
+
+    Each is a function without arguments that gives ``array<FINDING>`` over the columns of
+    :func:`prepare`. Leave out, replace or add entries, and hand the dict to ``scan`` or
+    ``analyze``. Patterns of ``malicious`` and ``network`` are matched in lower case.
+    """
     text, folded = F.col("text"), F.col("folded")
-    return [
-        encoding.high_entropy(F.col("entropy")),
-        patterns.malicious(folded),
-        patterns.long_lines(text),
-        patterns.dangerous_functions(text, F.col("file_type")),
-        encoding.base64_findings(text, folded, F.col("runs")),
-        patterns.network(folded),
-        secrets(text, folded),
-        dockerfile(text, F.col("name")),
-    ]
+    return {
+        "entropy": lambda: encoding.high_entropy(F.col("entropy")),
+        "malicious": lambda: patterns.malicious(folded, malicious),
+        "long_line": lambda: patterns.long_lines(text),
+        "dangerous_fn": lambda: patterns.dangerous_functions(text, F.col("file_type"), dangerous),
+        "base64": lambda: encoding.base64_findings(text, folded, F.col("runs")),
+        "network": lambda: patterns.network(folded, network),
+        "secrets": lambda: secrets(text, folded, secret),
+        "dockerfile": lambda: dockerfile(text, F.col("name")),
+    }
+
 
+@lru_cache(maxsize=1)
+def _built_in(_context) -> list[Column]:
+    return [build() for build in detectors().values()]
 
-def text_findings() -> list[Column]:
-    """All detectors over the columns of :func:`prepare`, in report order. The
-    expressions depend on no data and are built once per Spark context."""
-    return _text_findings(SparkContext.getOrCreate())
+
+def text_findings(own: Mapping[str, Detector] | None = None) -> list[Column]:
+    """The findings of each detector. Those of the built-in ones depend on no data and are
+    built once per Spark context."""
+    return _built_in(SparkContext.getOrCreate()) if own is None else [or_none(build()) for build in own.values()]
 
 
 def oversize() -> Column:
@@ -105,12 +132,14 @@ RESULT_COLUMNS = [
 
 def analyze(
     files: DataFrame, entropy_of: str = "all", keep: list[str] | None = None, max_bytes: int | None = None,
+    own: Mapping[str, Detector] | None = None,
 ) -> DataFrame:
     """One result per file (``RESULT_COLUMNS``, plus the columns in ``keep``). Files of
     unknown size are dropped. Files over 50 MB get a note; their content is read like
-    any other unless ``max_bytes`` says from which size on it is not."""
+    any other unless ``max_bytes`` says from which size on it is not. ``own`` detectors
+    (see :func:`detectors`) take the place of the built-in ones."""
     prepared = prepare(files.filter(F.col("size").isNotNull()), entropy_of, max_bytes)
-    found = F.concat(oversize(), *text_findings(), read_errors(files))
+    found = F.concat(oversize(), *text_findings(own), read_errors(files))
     unread = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     return prepared.select(
         "repo_id", "path", "size", "file_type",
@@ -119,7 +148,9 @@ def analyze(
     ).withColumn("risk_score", capped_score(F.col("findings"))).select(*RESULT_COLUMNS, *(keep or []))
 
 
-def scan_pass(files: DataFrame, mode: str = "balanced", max_bytes: int | None = None) -> DataFrame:
+def scan_pass(
+    files: DataFrame, mode: str = "balanced", max_bytes: int | None = None, own: Mapping[str, Detector] | None = None,
+) -> DataFrame:
     """Everything that needs file contents, in one narrow pass over the files.
 
     Manifests are parsed whether or not the file filters keep them; ``selected`` says
@@ -133,7 +164,7 @@ def scan_pass(files: DataFrame, mode: str = "balanced", max_bytes: int | None =
         .withColumn("content", F.when(F.col("selected"), F.col("content")))
     )
     parsed = deps.with_dependencies(rows)
-    return analyze(parsed, keep=["selected", "floor_hits", "pins"], max_bytes=max_bytes)
+    return analyze(parsed, keep=["selected", "floor_hits", "pins"], max_bytes=max_bytes, own=own)
 
 
 def file_results(scanned: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
@@ -153,8 +184,8 @@ def file_results(scanned: DataFrame, advisories: DataFrame | None = None) -> Dat
 
 def scan(
     files: DataFrame, mode: str = "balanced", advisories: DataFrame | None = None,
-    max_bytes: int | None = None,
+    max_bytes: int | None = None, own: Mapping[str, Detector] | None = None,
 ) -> DataFrame:
-    """Scan a corpus. The pass over the contents is written to the shared folder once;
+    """Scan a corpus, with ``own`` detectors if given. The pass over the contents is written to the shared folder once;
     summaries and reports then read only its small result rows."""
-    return file_results(materialize(scan_pass(files, mode, max_bytes)), advisories)
+    return file_results(materialize(scan_pass(files, mode, max_bytes, own)), advisories)

@@ -12,14 +12,15 @@ from riskloom import rules
 from riskloom.functions import entropy as E
 from riskloom.functions import scoring as S
 from riskloom.functions import text as T
-from riskloom.functions.findings import capped_score, is_caution
+from riskloom.functions.findings import capped_score, hit, hits_if, is_caution, to_findings
 from riskloom.operators import dependencies as deps
 from riskloom.operators import encoding, patterns, paths
 from riskloom.operators.dockerfile import dockerfile
 from riskloom.operators.secrets import secrets
 from riskloom.plans import exports, reports, summary
-from riskloom.plans.scan import analyze, prepare, scan
-from riskloom.sources import archives, corpora
+from riskloom.plans.chunks import scan_chunks
+from riskloom.plans.scan import analyze, detectors, prepare, scan
+from riskloom.sources import archives, chunks, corpora
 from riskloom.sources.tables import read_table, spread_small
 from riskloom.storage import materialize, shared_folder, store
 from riskloom.streaming import arrivals
@@ -393,6 +394,34 @@ def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of the documents and build files, scanned in chunks of about 1 KB."""
+    files = corpora.documents_with_payloads(spark, sf_dir).unionByName(corpora.dockerfiles_from_orders(spark, sf_dir))
+    found = summary.finding_rows(scan_chunks(chunks.cut_files(files, chunk_bytes=1 << 10)))
+    return found.select("repo_id", "path", "ord", "severity", "category", "description", "pattern", "line", "points")
+
+
+OWN_RULES = {
+    "malicious": {"team": [r"foo\.bar", "lorem"], "prose": [r"the .{0,200}of", "and"]},
+    "dangerous": {"python": ["the "], "bash": ["a", "of "]},
+    "network": [(r"http", "Plain link")],
+    "secret": {"Word in qu": r"(qu[a-z]{4,9})"},
+}
+
+
+def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents under a caller's rules, without the detectors of entropy and lines,
+    and with a detector of the caller's: a note on texts with a certain letter."""
+    own = detectors(**OWN_RULES)
+    for name in ("entropy", "long_line", "base64", "dockerfile"):
+        del own[name]
+    own["accent"] = lambda: to_findings("accent", hits_if((
+        F.contains(F.col("text"), F.lit("ê")), hit("accent", "Has an accent", points=1),
+    )))
+    found = summary.finding_rows(scan(corpora.documents_with_payloads(spark, sf_dir), own=own))
+    return found.select("repo_id", "path", "ord", "severity", "category", "description", "pattern", "line", "points")
+
+
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of arriving files, scored and appended to a table."""
     arrived = store(corpora.documents_with_payloads(spark, sf_dir))
@@ -458,4 +487,6 @@ QUERIES: dict[str, Query] = {
     "sarif_log": sarif_log,
     "json_report": json_report,
     "stream_scan": stream_scan,
+    "chunk_scan": chunk_scan,
+    "own_rules": own_rules,
 }

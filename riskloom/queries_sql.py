@@ -7,6 +7,7 @@ regexes over whole texts, without the gates and linear forms of the operators.
 from __future__ import annotations
 
 from riskloom import rules
+from riskloom.queries import OWN_RULES
 from riskloom.sources import corpora
 from riskloom.sources.corpora import sql_list, sql_text
 
@@ -40,11 +41,12 @@ FROM lows WHERE regexp_matches(low, {sql_text(pattern)})"""
 
 LOWS = "lows AS (SELECT repo_id, path, lower(text) AS low FROM docs)"
 
-_MALICIOUS = [(c, p) for c, ps in rules.MALICIOUS_PATTERNS.items() for p in ps]
-MALICIOUS = [
-    LOWS,
-    _first_hits("malicious_hits", [(i, c, p, "") for i, (c, p) in enumerate(_MALICIOUS)]),
-    f"""malicious AS (
+def _malicious(groups: dict[str, list[str]]) -> list[str]:
+    entries = [(c, p) for c, ps in groups.items() for p in ps]
+    return [
+        LOWS,
+        _first_hits("malicious_hits", [(i, c, p, "") for i, (c, p) in enumerate(entries)]),
+        f"""malicious AS (
   SELECT repo_id, path, 1 AS det, k1, 0 AS k2,
     CASE WHEN count(*) OVER (PARTITION BY repo_id, path) * {rules.POINTS_PATTERN} > {rules.MEDIUM_ABOVE}
          THEN 'medium' ELSE 'low' END AS severity,
@@ -52,7 +54,10 @@ MALICIOUS = [
     {rules.POINTS_PATTERN} AS points
   FROM malicious_hits
 )""",
-]
+    ]
+
+
+MALICIOUS = _malicious(rules.MALICIOUS_PATTERNS)
 
 LONG_LINE = [
     """doc_lines AS (
@@ -69,9 +74,9 @@ LONG_LINE = [
 ]
 
 
-def _functions() -> str:
+def _functions(table: dict[str, list[str]]) -> str:
     parts = []
-    for lang, names in rules.DANGEROUS_FUNCTIONS.items():
+    for lang, names in table.items():
         exts = ", ".join(sql_text(e) for e, l in rules.LANGUAGE_BY_EXTENSION.items() if l == lang)
         for i, fn in enumerate(names):
             parts.append(f"""SELECT repo_id, path, 3 AS det, {i} AS k1, 0 AS k2, 'low' AS severity,
@@ -81,7 +86,7 @@ FROM docs WHERE lower(ext) IN ({exts}) AND contains(text, {sql_text(fn)})""")
     return f"dangerous_fn AS (\n{_union(parts)}\n)"
 
 
-DANGEROUS = [_functions()]
+DANGEROUS = [_functions(rules.DANGEROUS_FUNCTIONS)]
 
 RUNS = f"""runs AS (
   SELECT repo_id, path, text, list_filter(
@@ -117,23 +122,27 @@ FROM runs WHERE len(rs) > {rules.BASE64_FEW}"""
 
 ENCODING = _encoding()
 
-NETWORK = [
-    _first_hits("network_hits", [(i, label, p, "") for i, (p, label) in enumerate(rules.NETWORK_PATTERNS)]),
-    """network AS (
+def _network(entries: list[tuple[str, str]]) -> list[str]:
+    return [
+        _first_hits("network_hits", [(i, label, p, "") for i, (p, label) in enumerate(entries)]),
+        """network AS (
   SELECT repo_id, path, 5 AS det, k1, 0 AS k2, 'info' AS severity, 'network' AS category,
     label AS description, NULL AS pattern, line, 0 AS points
   FROM network_hits
 )""",
-]
+    ]
+
 
+NETWORK = _network(rules.NETWORK_PATTERNS)
 
-def _secrets() -> list[str]:
+
+def _secrets(patterns: dict[str, str]) -> list[str]:
     parts = [
         f"""SELECT repo_id, path, {i} AS k1, {sql_text(name)} AS name,
   regexp_extract_all(text, {sql_text(p)}, 1) AS vals, regexp_extract_all(text, {sql_text(p)}, 0) AS ms,
   string_split_regex(text, {sql_text(p)}) AS ps
 FROM docs WHERE regexp_matches(text, {sql_text(p)})"""
-        for i, (name, p) in enumerate(rules.SECRET_PATTERNS.items())
+        for i, (name, p) in enumerate(patterns.items())
     ]
     before = "array_to_string(ps[1:i], '') || coalesce(array_to_string(ms[1:i - 1], ''), '')"
     marked = " OR ".join(f"contains(lower(v), {sql_text(m)})" for m in rules.SECRET_PLACEHOLDERS)
@@ -154,7 +163,7 @@ FROM docs WHERE regexp_matches(text, {sql_text(p)})"""
     ]
 
 
-SECRETS = _secrets()
+SECRETS = _secrets(rules.SECRET_PATTERNS)
 
 _FROM = r"(?i)^\s*FROM\s+(\S+)(?:\s+AS\s+(\S+))?"
 _ADD = r"(?i)^\s*ADD\s+(?:--\S+\s+)*(\S+)"
@@ -365,6 +374,25 @@ def _rollup(results: str) -> str:
 )"""
 
 
+CHUNKED = [
+    corpora.DOCKER_SQL, f"""doc_files AS ({_DOCS_BODY}),
+docs AS (SELECT * FROM doc_files UNION ALL SELECT repo_id, path, {_SUFFIX}, text FROM docker)""",
+    *TEXT_CTES, *ENTROPY, *DOCKER, _found([*TEXT_DETECTORS, "high_entropy", "dockerfile"]), POSITIONED,
+]
+OWN = [
+    corpora.DOCUMENTS_SQL, *_malicious(OWN_RULES["malicious"]), _functions(OWN_RULES["dangerous"]),
+    *_network(OWN_RULES["network"]), *_secrets(OWN_RULES["secret"]),
+    """accent AS (
+  SELECT repo_id, path, 9 AS det, 0 AS k1, 0 AS k2, 'low' AS severity, 'accent' AS category,
+    'Has an accent' AS description, NULL AS pattern, NULL AS line, 1 AS points
+  FROM docs WHERE contains(text, 'ê')
+)""",
+    _found(["malicious", "dangerous_fn", "network", "secrets", "accent"]), POSITIONED,
+]
+_POSITIONED_ALL = (
+    "SELECT repo_id, path, ord, severity, category, description, pattern, line, points FROM positioned"
+)
+
 COUNTS = ("repo_id, total_files, overall_risk_score, risk_level, high_risk_files, medium_risk_files, "
           "low_risk_files, safe_files, findings_count, cautions_count")
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
@@ -528,3 +556,5 @@ FROM packed
 UNION ALL SELECT DISTINCT 'cut-' || repo_id, '(archive)', 0, NULL, true FROM packed WHERE last"""),
 }
 ORACLES["stream_scan"] = ORACLES["file_score"]
+ORACLES["chunk_scan"] = sql(*CHUNKED, select=_POSITIONED_ALL)
+ORACLES["own_rules"] = sql(*OWN, select=_POSITIONED_ALL)
