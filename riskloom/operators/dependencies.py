@@ -10,6 +10,7 @@ from riskloom.functions.findings import FINDING, FINDINGS, no_findings, rule_tab
 from riskloom.functions.lines import quoted_lines
 from riskloom.functions.text import SPACE, decode_utf8, universal_newlines
 from riskloom.functions.versions import parse_version
+from riskloom.operators.intervals import stab
 from riskloom.operators.joins import join_measured
 from riskloom.storage import materialize
 
@@ -179,28 +180,31 @@ def advisory_rows(parsed: DataFrame, advisories: DataFrame) -> DataFrame:
 
     ``advisories``: ``ecosystem, package, introduced array<bigint>, fixed
     array<bigint>, id, summary, details``; a NULL bound is open. The corpus pins the
-    same versions over and over, so ranges are compared once per distinct version; the
-    pins then meet the result on plain equality, in the measured, salted join.
+    same versions over and over, so ranges are looked up once per distinct version, by
+    sorting versions and bounds together; the pins then meet the result on plain equality,
+    in the measured, salted join.
     """
     pins = (
         parsed.select("repo_id", "path", F.inline_outer("pins")).filter("package is not null")
     )
-    affected = (F.col("introduced").isNull() | (F.col("version") >= F.col("introduced"))) & (
-        F.col("fixed").isNull() | (F.col("version") < F.col("fixed"))
-    )
     text = F.coalesce(
         F.nullif(F.col("summary"), F.lit("")),
         F.nullif(F.left(F.col("details"), F.lit(120)), F.lit("")),
         F.lit("no summary available"),
     )
-    versions = pins.select("ecosystem", "package", "pinned", "version").distinct()
-    by_version = materialize(join_measured(
-        versions, advisories, ["ecosystem", "package"], "inner",
-        spread_by=["pinned"], residual=affected,
-    ).select(
-        "ecosystem", "package", "pinned",
+    known = advisories.select(
+        "ecosystem", "package", "introduced", "fixed",
         F.coalesce(F.col("id"), F.lit("unknown")).alias("advisory"), text.alias("text"),
-    ))
+    )
+    pinned = materialize(pins.select("ecosystem", "package", "pinned", "version").distinct())
+    affected = stab(
+        pinned.select("ecosystem", "package", "version").distinct(), known,
+        ["ecosystem", "package"], "version", "introduced", "fixed",
+    )
+    # one version may be written in several ways
+    by_version = materialize(
+        affected.join(pinned, ["ecosystem", "package", "version"]).drop("version")
+    )
     matched = join_measured(
         pins, by_version, ["ecosystem", "package", "pinned"], "inner",
         spread_by=["repo_id", "path", "ord"],
