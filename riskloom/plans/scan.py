@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskloom import rules
@@ -125,6 +125,22 @@ def read_errors(files: DataFrame) -> Column:
     )))
 
 
+def losses(files: DataFrame) -> list[Column]:
+    """Counts of files: ``listed`` in all, ``dropped`` as their size is unknown, and
+    ``failed``, those that a source says it could not read, or not whole. Contents are not
+    looked at."""
+    failed = F.col("read_error").isNotNull() if "read_error" in files.columns else F.lit(False)
+    return [
+        F.count(F.lit(1)).alias("listed"), F.count_if(F.col("size").isNull()).alias("dropped"),
+        F.count_if(F.col("size").isNotNull() & failed).alias("failed"),
+    ]
+
+
+def repo_losses(files: DataFrame) -> DataFrame:
+    """``losses`` of each repository."""
+    return files.groupBy("repo_id").agg(*losses(files))
+
+
 RESULT_COLUMNS = [
     "repo_id", "path", "size", "file_type", "is_binary", "entropy", "findings", "risk_score",
 ]
@@ -185,7 +201,10 @@ def file_results(scanned: DataFrame, advisories: DataFrame | None = None) -> Dat
 def scan(
     files: DataFrame, mode: str = "balanced", advisories: DataFrame | None = None,
     max_bytes: int | None = None, own: Mapping[str, Detector] | None = None,
+    lost: Observation | None = None,
 ) -> DataFrame:
-    """Scan a corpus, with ``own`` detectors if given. The pass over the contents is written to the shared folder once;
+    """Scan a corpus, with ``own`` detectors if given. ``lost.get`` holds the ``losses`` of
+    the whole corpus afterwards, counted in the same pass. The pass over the contents is written to the shared folder once;
     summaries and reports then read only its small result rows."""
-    return file_results(materialize(scan_pass(files, mode, max_bytes, own)), advisories)
+    seen = files if lost is None else files.observe(lost, *losses(files))
+    return file_results(materialize(scan_pass(seen, mode, max_bytes, own)), advisories)

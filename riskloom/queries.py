@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import rules
@@ -19,7 +19,7 @@ from riskloom.operators.dockerfile import dockerfile
 from riskloom.operators.secrets import secrets
 from riskloom.plans import exports, reports, summary
 from riskloom.plans.chunks import scan_chunks
-from riskloom.plans.scan import analyze, detectors, prepare, scan
+from riskloom.plans.scan import analyze, detectors, prepare, repo_losses, scan
 from riskloom.sources import archives, chunks, corpora
 from riskloom.sources.tables import read_table, spread_small
 from riskloom.storage import materialize, shared_folder, store
@@ -126,6 +126,16 @@ def quick_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select_files(files, "quick").filter("selected").select("repo_id", "path")
 
 
+SMALL_CAP = 100
+
+
+def quick_cap_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick mode with a cap that every repository reaches."""
+    files = corpora.paths_from_lineitem(spark, sf_dir)
+    chosen = paths.select_files(files, "quick", quick_files=SMALL_CAP)
+    return chosen.filter("selected").select("repo_id", "path")
+
+
 # --- dependencies --------------------------------------------------------------
 
 def _manifest_entries(spark: SparkSession, sf_dir: str, ecosystem: str) -> DataFrame:
@@ -140,6 +150,17 @@ def read_npm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest_entries(spark, sf_dir, rules.NPM)
 
 
+def broken_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of package files of which one third lack their end and one third go on
+    behind it: both are no JSON object and have none."""
+    files = corpora.manifests_from_lineitem(spark, sf_dir).filter(F.col("path") == rules.NPM_MANIFEST)
+    form = F.floor(F.substring_index("repo_id", "_", -1).cast("bigint") / 2) % 3
+    text = F.col("content").cast("string")
+    broken = F.when(form == 0, F.regexp_replace(text, r"\}\s*$", "")).when(form == 2, F.concat(text, F.lit("x"))).otherwise(text)
+    rows = deps.dependency_rows(deps.manifests(files.withColumn("content", F.encode(broken, "UTF-8"))))
+    return rows.select("repo_id", "package", "pinned", "ord", "line")
+
+
 def read_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest_entries(spark, sf_dir, rules.PYPI)
 
@@ -431,6 +452,46 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark.read.schema(results.schema).parquet(f"{folder}/results"))
 
 
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in two batches: first all, of which some in another form, then
+    those anew, and stale forms of others. Every file counts once, by its newest form."""
+    docs = corpora.documents_with_payloads(spark, sf_dir)
+    other = F.encode(F.lit("eval(x)\nos.system(y)\n# minerd"), "UTF-8")
+    again = F.char_length("path") % 2 == 0
+    first = docs.withColumns({"content": F.when(again, other).otherwise(F.col("content")), "version": F.lit(2).cast("bigint")})
+    second = docs.withColumns({
+        "content": F.when(again, F.col("content")).otherwise(other),
+        "version": F.when(again, F.lit(3)).otherwise(F.lit(1)).cast("bigint"),
+    })
+    arrived = store(first)
+    folder = f"{arrived}-rollup"
+    results = arrivals.scan_arrivals(arrivals.read_arrivals(spark, arrived, arrivals.VERSIONED_SCHEMA))
+    changes = arrivals.result_changes(results)
+    for late in (None, second):
+        if late is not None:
+            late.write.mode("append").parquet(arrived)
+        arrivals.write_results(changes, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return arrivals.rollup_changes(spark.read.schema(changes.schema).parquet(f"{folder}/changes")).select(*COUNTS)
+
+
+def counted_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of unknown size and files that failed: by repository, and as counted in the
+    scan itself, whose results hold the others."""
+    docs = corpora.documents_with_payloads(spark, sf_dir)
+    unknown, lost = F.char_length("path") % 3 == 0, F.char_length("path") % 2 == 0
+    files = docs.withColumns({
+        "size": F.when(~unknown, F.col("size")), "content": F.when(~lost, F.col("content")),
+        "read_error": F.when(lost, F.lit("Permission denied")),
+    })
+    counted = Observation("losses")
+    results = scan(files, lost=counted)
+    held = results.groupBy("repo_id").agg(F.count("*").alias("results"))
+    total = counted.get
+    whole = results.agg(F.lit("(all)").alias("repo_id"), *(F.lit(total[c]).cast("bigint").alias(c) for c in ("listed", "dropped", "failed")),
+                        F.count("*").alias("results"))
+    return repo_losses(files).join(held, "repo_id").unionByName(whole)
+
+
 def _text() -> Column:
     return F.col("text")
 
@@ -488,5 +549,9 @@ QUERIES: dict[str, Query] = {
     "json_report": json_report,
     "stream_scan": stream_scan,
     "chunk_scan": chunk_scan,
+    "quick_cap_small": quick_cap_small,
+    "broken_manifests": broken_manifests,
+    "stream_rollup": stream_rollup,
+    "counted_losses": counted_losses,
     "own_rules": own_rules,
 }

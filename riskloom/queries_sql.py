@@ -7,7 +7,7 @@ regexes over whole texts, without the gates and linear forms of the operators.
 from __future__ import annotations
 
 from riskloom import rules
-from riskloom.queries import OWN_RULES
+from riskloom.queries import OWN_RULES, SMALL_CAP
 from riskloom.sources import corpora
 from riskloom.sources.corpora import sql_list, sql_text
 
@@ -558,3 +558,13 @@ UNION ALL SELECT DISTINCT 'cut-' || repo_id, '(archive)', 0, NULL, true FROM pac
 ORACLES["stream_scan"] = ORACLES["file_score"]
 ORACLES["chunk_scan"] = sql(*CHUNKED, select=_POSITIONED_ALL)
 ORACLES["own_rules"] = sql(*OWN, select=_POSITIONED_ALL)
+ORACLES["quick_cap_small"] = ORACLES["quick_cap"].replace(f"r <= {rules.QUICK_MAX_FILES}", f"r <= {SMALL_CAP}")
+ORACLES["broken_manifests"] = sql(corpora.MANIFESTS_SQL, select="""
+SELECT repo_id, package, pinned, ord, line FROM deps
+WHERE ecosystem = 'npm' AND CAST(substr(repo_id, 7) AS BIGINT) // 2 % 3 = 1""")
+ORACLES["stream_rollup"] = sql(*DOC_FINDINGS, SCORES, _rollup("scores"), select=f"SELECT {COUNTS} FROM rollup_")
+ORACLES["counted_losses"] = sql(corpora.DOCUMENTS_SQL, """
+lost AS (SELECT repo_id, length(path) % 3 = 0 AS unknown, length(path) % 2 = 0 AS failed FROM docs)""", select="""
+SELECT coalesce(repo_id, '(all)') AS repo_id, count(*) AS listed, count(*) FILTER (unknown) AS dropped,
+  count(*) FILTER (failed AND NOT unknown) AS failed, count(*) FILTER (NOT unknown) AS results
+FROM lost GROUP BY GROUPING SETS ((repo_id), ())""")

@@ -2,23 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskloom.functions.findings import FILES_SCHEMA
+from riskloom.functions import scoring as S
+from riskloom.functions.findings import FILES_SCHEMA, is_caution
 from riskloom.operators.paths import wanted
 from riskloom.plans.scan import analyze
 from riskloom.plans.summary import rollup
 
+#: Files that may arrive again say which arrival it is; the greatest counts.
+VERSIONED_SCHEMA = f"{FILES_SCHEMA}, version bigint"
+CHANGES_SCHEMA = "repo_id string, risk_score double, files bigint, findings bigint, cautions bigint"
+_STATE = "version bigint, risk_score double, findings bigint, cautions bigint"
+
 
-def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
+def read_arrivals(spark: SparkSession, path: str, schema: str = FILES_SCHEMA) -> DataFrame:
     """Parquet files of ``files`` rows, picked up as they appear."""
-    return spark.readStream.schema(FILES_SCHEMA).parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def scan_arrivals(files: DataFrame, mode: str = "balanced") -> DataFrame:
-    """One result per arriving file that passes the path filters."""
-    return analyze(files.filter(wanted(mode)))
+    """One result per arriving file that passes the path filters, with its ``version`` if
+    files have one."""
+    keep = ["version"] if "version" in files.columns else None
+    return analyze(files.filter(wanted(mode)), keep=keep)
+
+
+def _replace(key: tuple, arrivals: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a file's arrivals change in its repository: the result that held so far is
+    taken out, the newest comes in."""
+    held = tuple(state.get) if state.exists else None
+    newest = held
+    for batch in arrivals:
+        for r in batch.itertuples(index=False):
+            seen = (int(r.version), float(r.risk_score), int(r.findings), int(r.cautions))
+            newest = seen if newest is None else max(newest, seen)
+    if newest is not None and newest != held:
+        state.update(newest)
+        changes = [(key[0], held[1], -1, -held[2], -held[3])] if held else []
+        changes.append((key[0], newest[1], 1, newest[2], newest[3]))
+        yield pd.DataFrame(changes, columns=["repo_id", "risk_score", "files", "findings", "cautions"])
+
+
+def result_changes(results: DataFrame) -> DataFrame:
+    """The changes (``CHANGES_SCHEMA``) that results with a ``version`` make: adding up all
+    of them gives the state of each repository, with every file counted once, by its
+    greatest version. An arrival of a smaller version changes nothing; of equal versions
+    the higher score counts. Rows without a version, repository or path are left out.
+
+    State is four numbers a file, keyed by file, so a repository with a third of all files
+    is spread like any other."""
+    cautions = F.size(F.filter("findings", lambda f: is_caution(f["severity"])))
+    numbers = results.where("version is not null and repo_id is not null and path is not null").select(
+        "repo_id", "path", "version", "risk_score",
+        (F.size("findings") - cautions).cast("bigint").alias("findings"), cautions.cast("bigint").alias("cautions"),
+    )
+    return numbers.groupBy("repo_id", "path").applyInPandasWithState(
+        _replace, CHANGES_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def rollup_changes(changes: DataFrame) -> DataFrame:
+    """The columns of ``rollup`` from all changes so far. Scores are whole numbers up to
+    100, so what is left of a repository are at most 101 rows."""
+    per_score = changes.groupBy("repo_id", "risk_score").agg(
+        F.sum("files").alias("files"), F.sum("findings").alias("findings"), F.sum("cautions").alias("cautions")
+    ).where("files > 0")
+    level = S.band(F.col("risk_score"))
+    files = lambda *bands: F.coalesce(F.sum(F.when(level.isin(*bands), F.col("files"))), F.lit(0).cast("bigint"))
+    return per_score.groupBy("repo_id").agg(
+        F.sum("files").alias("total_files"), F.max("risk_score").alias("overall_risk_score"),
+        files("critical", "high").alias("high_risk_files"), files("medium").alias("medium_risk_files"),
+        files("low").alias("low_risk_files"), files("safe").alias("safe_files"),
+        F.sum("findings").alias("findings_count"), F.sum("cautions").alias("cautions_count"),
+    ).withColumn("risk_level", S.band(F.col("overall_risk_score")))
 
 
 def write_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -161,3 +161,31 @@ def test_archives_in_cells(spark):
     table = spark.createDataFrame([("x", whole.getvalue()), ("y", b"none"), ("z", None)], "repo_id string, content binary")
     rows = sorted((r["repo_id"], r["path"], r["read_error"] is None) for r in expand_archives(table).collect())
     assert rows == [("x", "a", True), ("y", "(archive)", False), ("z", "(archive)", False)]
+
+
+def test_a_file_that_arrives_again_replaces_its_result(spark, make_files, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        files = make_files(*(r[:3] for r in rows)).withColumn("version", F.lit(rows[0][3]).cast("bigint"))
+        files.write.mode("append").parquet(source)
+        results = arrivals.scan_arrivals(arrivals.read_arrivals(spark, source, arrivals.VERSIONED_SCHEMA))
+        changes = arrivals.result_changes(results)
+        arrivals.write_results(changes, out, str(tmp_path / "cp")).awaitTermination()
+        now = arrivals.rollup_changes(spark.read.schema(arrivals.CHANGES_SCHEMA).parquet(out))
+        return {r["repo_id"]: (r["total_files"], r["overall_risk_score"], r["findings_count"], r["cautions_count"]) for r in now.collect()}
+
+    two = "eval(x)\nexec(y)\nrequests.get(u)"
+    whole = analyze(make_files(("r", "a.py", two), ("r", "b.py", "eval(x)"))).collect()
+    score, n = {r["path"]: r["risk_score"] for r in whole}, {r["path"]: len(r["findings"]) for r in whole}
+    both = arrive(("r", "a.py", two, 5), ("r", "b.py", "eval(x)", 5), ("s", "c.py", "", 5))
+    assert both["r"][:2] == (2, max(score.values())) and both["s"] == (1, 0.0, 0, 0)
+    assert arrive(("r", "a.py", "clean", 4), ("s", "c.py", two, 4)) == both  # older ones
+    assert arrive(("r", "a.py", two, 5)) == both  # the same again
+    assert arrive(("r", "a.py", "clean", 6))["r"] == (2, score["b.py"], n["b.py"], 0)
+    assert arrive(("r", None, two, 9), (None, "a.py", two, 9))["r"] == (2, score["b.py"], n["b.py"], 0)
+
+
+def test_rows_that_a_stream_can_not_place_are_left_out(spark):
+    none = spark.createDataFrame([], arrivals.CHANGES_SCHEMA)
+    assert arrivals.rollup_changes(none).count() == 0
