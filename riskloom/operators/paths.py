@@ -61,9 +61,11 @@ def ignore_globs(content: Column) -> Column:
 
 
 def ignore_lists(files: DataFrame) -> DataFrame:
-    """``(repo_id, globs)``: one row per repository with a root ignore file."""
+    """``(repo_id, globs)``: one row per repository with a root ignore file. In a table of
+    ``store_files`` only the partition of such files is read."""
+    listed = files.filter("control") if "control" in files.columns else files
     return (
-        files.filter((F.col("path") == rules.IGNORE_FILE) & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
+        listed.filter((F.col("path") == rules.IGNORE_FILE) & ~F.coalesce(F.col("is_symlink"), F.lit(False)))
         .select("repo_id", ignore_globs(F.col("content")).alias("globs"))
     )
 

@@ -21,7 +21,7 @@ from riskloom.plans import exports, reports, summary
 from riskloom.plans.chunks import scan_chunks
 from riskloom.plans.scan import analyze, detectors, prepare, repo_losses, scan
 from riskloom.sources import archives, chunks, corpora
-from riskloom.sources.tables import read_table, spread_small
+from riskloom.sources.tables import files_from_text, read_table, spread_small, store_files
 from riskloom.storage import materialize, shared_folder, store
 from riskloom.streaming import arrivals
 
@@ -126,6 +126,18 @@ def quick_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select_files(files, "quick").filter("selected").select("repo_id", "path")
 
 
+def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an ignore list for each source, stored with the lists set apart and
+    scanned from there."""
+    docs = corpora.documents_with_payloads(spark, sf_dir)
+    lists = files_from_text(
+        read_table(spark, f"{sf_dir}/documents.parquet").select("source").distinct(),
+        F.col("source"), F.lit(rules.IGNORE_FILE), F.lit("# generated\n*.md\nes/*\n"),
+    )
+    folder = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    return scan(store_files(docs.unionByName(lists), folder)).select("repo_id", "path", "file_type", "risk_score")
+
+
 SMALL_CAP = 100
 
 
@@ -549,6 +561,7 @@ QUERIES: dict[str, Query] = {
     "json_report": json_report,
     "stream_scan": stream_scan,
     "chunk_scan": chunk_scan,
+    "stored_scan": stored_scan,
     "quick_cap_small": quick_cap_small,
     "broken_manifests": broken_manifests,
     "stream_rollup": stream_rollup,

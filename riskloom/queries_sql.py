@@ -568,3 +568,6 @@ lost AS (SELECT repo_id, length(path) % 3 = 0 AS unknown, length(path) % 2 = 0 A
 SELECT coalesce(repo_id, '(all)') AS repo_id, count(*) AS listed, count(*) FILTER (unknown) AS dropped,
   count(*) FILTER (failed AND NOT unknown) AS failed, count(*) FILTER (NOT unknown) AS results
 FROM lost GROUP BY GROUPING SETS ((repo_id), ())""")
+ORACLES["stored_scan"] = sql(*DOC_FINDINGS, SCORES, select=f"""
+SELECT repo_id, path, file_type, risk_score FROM scores WHERE file_type <> '.md' AND NOT starts_with(path, 'es/')
+UNION ALL SELECT DISTINCT repo_id, {sql_text(rules.IGNORE_FILE)}, 'unknown', 0.0 FROM docs""")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import rules
+from riskloom.storage import freeing_shuffles
+
 SPREAD_BYTES = 256 * 1024 * 1024
 
 
@@ -36,3 +39,19 @@ def files_from_text(df: DataFrame, repo_id: Column, path: Column, text: Column)
         F.lit(False).alias("is_symlink"),
         content.alias("content"),
     )
+
+
+def store_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write ``files`` to a table in which those that steer a scan (the ignore lists) are a
+    partition of their own, ``control``, and read it back. A scan then looks for them there,
+    and reads the contents of all others once. Files without a path are not ``control``."""
+    control = F.coalesce(F.col("path") == rules.IGNORE_FILE, F.lit(False))
+    with freeing_shuffles(files.sparkSession):
+        files.withColumn("control", control).write.partitionBy("control").parquet(folder)
+    return read_files(files.sparkSession, folder, files)
+
+
+def read_files(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """A table of ``store_files``, with the columns of ``like`` and ``control``."""
+    columns = like.withColumn("control", F.lit(False))
+    return spark.read.schema(columns.schema).parquet(folder)

@@ -11,8 +11,9 @@ from riskloom.functions import text as T
 from riskloom.functions.entropy import byte_entropy
 from riskloom.functions.globs import globs_to_regex
 from riskloom.operators import paths
-from riskloom.operators.paths import select_files
+from riskloom.operators.paths import ignore_lists, select_files
 from riskloom.plans.scan import analyze, prepare, scan
+from riskloom.sources.tables import store_files
 
 
 def test_decoding_equals_python_ignore(make_files):
@@ -177,3 +178,16 @@ def test_an_ignore_list_without_link_flag_counts(make_files):
     files = make_files(("r", ".reposecurityignore", "*.log\n", 6, None), ("r", "x.log", "a", 1, None), ("r", "y.py", "a", 1, None))
     chosen = {r["path"] for r in select_files(files).filter("selected").collect()}
     assert "x.log" not in chosen and "y.py" in chosen
+
+
+def test_ignore_lists_are_read_from_their_own_partition(spark, make_files, tmp_path):
+    files = make_files(("r", ".reposecurityignore", "*.md"), ("r", "a.md", "eval(x)"), ("r", "a.py", "eval(x)"),
+                       ("s", "a.md", "x"), ("s", None, "x"), ("s", "d/.reposecurityignore", "*"))
+    stored = store_files(files, str(tmp_path / "files"))
+    assert {r["path"] for r in stored.filter("control").collect()} == {".reposecurityignore"}
+    assert sorted(map(repr, ignore_lists(stored).collect())) == sorted(map(repr, ignore_lists(files).collect()))
+    plan = ignore_lists(stored)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(control#" in plan or "PartitionFilters: [control#" in plan
+    seen = {(r["repo_id"], r["path"]): r["selected"] for r in select_files(stored).collect()}
+    assert seen == {(r["repo_id"], r["path"]): r["selected"] for r in select_files(files).collect()}
+    assert seen["r", "a.py"] and not seen["r", "a.md"] and seen["s", "a.md"]
