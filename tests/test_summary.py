@@ -12,6 +12,7 @@ from riskloom.functions import scoring as S
 from riskloom.functions.findings import FINDINGS
 from riskloom.operators.topk import top_k
 from riskloom.plans import exports, reports, summary
+from riskloom.plans.runs import run_scan
 
 RESULTS = f"repo_id string, path string, findings {FINDINGS}, risk_score double"
 
@@ -189,3 +190,17 @@ def test_a_repository_of_many_findings_is_split_and_whole(spark, tmp_path):
     assert len(log["runs"][0]["results"]) == 100_000 and log["runs"][0]["automationDetails"] == {"id": "hot"}
     rows = list(csv.reader(io.StringIO(whole("r.csv"))))
     assert len(rows) == 100_002 and rows[0][:2] == ["Repository", "File"] and {r[0] for r in rows[1:]} == {"cold", "hot"}
+
+
+def test_a_run_knows_its_time_and_losses(make_files):
+    files = make_files(("r", "a.py", "eval(x)"), ("r", "b.py", "x", None, False), ("s", "c.py", None, 9, False), ("s", "yarn.lock", "x"))
+    files = files.withColumn("read_error", F.when(F.col("path") == "c.py", F.lit("Permission denied")))
+    run = run_scan(files)
+    assert (run.listed, run.dropped, run.failed) == (4, 1, 1) and run.results.count() == 2
+    rows = run.summary().collect()
+    assert {r["repo_id"] for r in rows} == {"r", "s"} and 0 < run.seconds == rows[0]["scan_duration"]
+    assert (rows[0]["scan_ended"] - rows[0]["scan_started"]).total_seconds() == pytest.approx(run.seconds, abs=1e-5)
+    texts = reports.json_reports(run.summary(), scan_duration=F.col("scan_duration")).collect()
+    assert {json.loads(r["report"])["scan_duration"] for r in texts} == {run.seconds}
+    nothing = run_scan(files.limit(0))
+    assert (nothing.listed, nothing.dropped, nothing.failed) == (0, 0, 0) and nothing.summary().count() == 0
