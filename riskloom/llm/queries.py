@@ -72,7 +72,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines(_table(spark, sf_dir, "documents"), distance=8, blocks=10, percent=90)
+    return fuzzy_lines(_table(spark, sf_dir, "documents"), distance=16, percent=90)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
