@@ -166,6 +166,13 @@ def test_fuzzy_lines(docs_of, no_docs):
     assert fuzzy_lines(no_docs).count() == 0
 
 
+def test_lines_of_texts_that_share_an_id(docs_of):
+    line, own = words(8, 30), words(9, 30)
+    docs = docs_of([(1, line), (2, line), (2, own), (None, line), (2, None)])
+    left = drop_lines(docs, fuzzy_lines(docs)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter([(1, line), (2, ""), (2, own), (None, line), (2, None)])
+
+
 def edits(x, y):
     row = list(range(len(y) + 1))
     for i, c in enumerate(x, 1):
