@@ -6,6 +6,8 @@ import pytest
 
 from riskloom.operators import dependencies as deps
 from riskloom.operators.joins import join_measured
+from riskloom.plans import reports, summary
+from riskloom.plans.scan import scan
 
 PIP = {
     "old": ("requests==2.20.0\n", ["requests"]),
@@ -112,3 +114,59 @@ def test_salted_join_equals_broadcast_join(spark):
         salted = join_measured(big, small, ["k"], how, spread_by=["id"], max_bytes=0, salts=4)
         assert sorted(map(str, broadcast.collect())) == sorted(map(str, salted.collect()))
         assert broadcast.columns == salted.columns
+
+
+def many_advisories(spark, n, package="flask"):
+    return spark.range(n).selectExpr(
+        "'PyPI' as ecosystem", f"'{package}' as package", "cast(null as array<bigint>) as introduced", "array(9L) as fixed",
+        "concat('A-', lpad(id, 4, '0')) as id", "concat('text ', id) as summary", "'' as details",
+    )
+
+
+def test_findings_are_stored_by_pin_not_by_advisory(spark, make_files):
+    files = make_files(*((f"r{i}", "requirements.txt", "flask==0.1\nrequests==1.0\n") for i in range(40)))
+    found = deps.dependency_results(deps.manifests(files), many_advisories(spark, 300))
+    short = deps.advised(found)
+    assert short.rows.selectExpr("sum(size(parts))").first()[0] == 80
+    assert short.groups.selectExpr("sum(size(listed))").first()[0] == 300
+    assert {tuple(r) for r in deps.dependency_scores(found).select("risk_score", "n_findings").collect()} == {(100.0, 301)}
+    assert found.selectExpr("sum(size(findings))").first()[0] == 40 * 301
+    assert short.findings().count() == 40 * 301 and short.findings(k=5).count() == 40 * 6
+    assert short.findings(of_each=1).count() == 80
+
+
+def test_short_and_whole_findings_agree(spark, make_files):
+    """A manifest that comes twice, so that places repeat, and an advisory without a name."""
+    names = spark.createDataFrame(
+        [("PyPI", "flask", None, [9], "", "no name", "")],
+        "ecosystem string, package string, introduced array<bigint>, fixed array<bigint>, id string, summary string, details string",
+    )
+    advisories = many_advisories(spark, 3).union(many_advisories(spark, 2, "requests")).union(names)
+    text = "requests==1.0\nflask==0.1\n"
+    files = make_files(
+        ("r", "requirements.txt", text), ("r", "requirements.txt", "flask==0.1\nrequests==1.0\n"), ("s", "requirements.txt", text),
+        (None, "requirements.txt", text), ("r", "package.json", '{"dependencies": {"axios": "0.1.0"}}'),
+    )
+    found = deps.dependency_results(deps.manifests(files), advisories)
+    whole = {r["repo_id"]: [f["description"].split(": ")[-1].split(" - ")[0][:8] for f in r["findings"]] for r in found.collect()}
+    floor = "SSL/TLS "
+    assert whole["s"] == whole[None] == [floor, "A-0000", "A-0001", "", "A-0000", "A-0001", "A-0002"]
+    assert len(whole["r"]) == 15
+    own = deps.advisory_rows(deps.manifests(files), advisories).where("repo_id = 'r'").collect()
+    ordered = sorted((r["ord"], r["advisory"], r["finding"]["description"]) for r in own)
+    advised = [f["description"] for f in found.where("repo_id = 'r'").first()["findings"] if f["detector"] == "advisory"]
+    assert advised == [d for _, _, d in ordered]
+    rows = summary.finding_rows(scan(files, advisories=advisories)).where("path = 'dependencies' and repo_id = 'r'")
+    listed = [r["description"] for r in rows.orderBy("ord").collect()]
+    assert listed == [f["description"] for f in found.where("repo_id = 'r'").first()["findings"]]
+    assert [r["ord"] for r in rows.orderBy("ord").collect()] == list(range(15))
+
+
+def test_summaries_read_the_short_form(spark, make_files):
+    files = make_files(("r", "requirements.txt", "requests==1.0\nflask==0.1\n"), ("r", "a.py", "eval(x)"))
+    results = scan(files, advisories=many_advisories(spark, 80))
+    plain = results.select("*")  # another table of the same rows
+    assert deps.advised(results) and not deps.advised(plain)
+    same = lambda f: sorted(map(str, f(results).collect())) == sorted(map(str, f(plain).collect()))
+    assert same(summary.rollup) and same(summary.repo_summary) and same(summary.detailed)
+    assert same(summary.finding_rows) and same(reports.rule_rows)
