@@ -36,16 +36,27 @@ def entropy(content: Column, sample_bytes: int = 0) -> Column:
 
 
 def byte_counts(content: Column) -> Column:
-    """How often each of the 256 byte values occurs; NULL stays NULL. Counts of parts add
-    up to the counts of the whole."""
+    """How often each byte value that occurs does: ``256 * count + value`` for each, in
+    order of value; NULL stays NULL. Counts of parts add up to the counts of the whole."""
+
+    def count(data: bytes) -> np.ndarray:
+        counts = np.bincount(np.frombuffer(data, dtype=np.uint8))
+        values = np.flatnonzero(counts)
+        return counts[values] * 256 + values
 
     @F.pandas_udf("array<bigint>")
-    def count(batch: pd.Series) -> pd.Series:
-        return batch.map(
-            lambda data: np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256), na_action="ignore"
-        )
+    def of_bytes(batch: pd.Series) -> pd.Series:
+        return batch.map(count, na_action="ignore")
+
+    return of_bytes(content)
+
 
-    return count(content)
+def entropy_of_counts(counts: Column) -> Column:
+    """Entropy from :func:`byte_counts`; NULL if there are none."""
+    n = lambda x: F.shiftright(x, 8)
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, x: s + n(x))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda s, x: s + n(x) * F.log2(n(x)))
+    return F.abs(F.log2(total) - weighted / total)
 
 
 def may_have_high_entropy(content: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import rules
+from riskloom.functions import entropy as E
 from riskloom.functions import text as T
 from riskloom.functions.findings import HIT, capped_score, no_findings, to_findings
 from riskloom.operators import encoding, patterns
@@ -99,6 +100,7 @@ def scan_each_chunk(chunks: DataFrame) -> DataFrame:
     text, runs = F.col("text"), F.col("runs")
     return ready.select(
         *FILE, "size", "file_type", "is_binary", "chunk", F.col("entropy").alias("byte_counts"),
+        E.entropy_of_counts(F.col("entropy")).alias("own_entropy"),
         F.coalesce(T.newlines(text), F.lit(0)).cast("bigint").alias("newlines"),
         F.coalesce(runs["n"], F.lit(0)).cast("bigint").alias("n_runs"),
         F.when(runs["n"] > 0, T.line_of_literal(text, runs["first"])).alias("run_line"),
@@ -107,10 +109,14 @@ def scan_each_chunk(chunks: DataFrame) -> DataFrame:
 
 
 def file_entropy(scanned: DataFrame) -> DataFrame:
-    """``repo_id, path, entropy`` from the summed counts of byte values; at most 256 rows
-    of a file meet."""
-    counts = scanned.select(*FILE, F.posexplode("byte_counts").alias("byte", "n")).where("n > 0")
-    counts = counts.groupBy(*FILE, "byte").agg(F.sum("n").alias("n"))
+    """``repo_id, path, entropy`` of the files of several chunks, from the summed counts of
+    byte values; at most 256 rows of a file meet. A single chunk has its ``own_entropy``, so
+    its counts are not laid out in rows."""
+    several = scanned.select(*FILE, "byte_counts", F.count(F.lit(1)).over(Window.partitionBy(*FILE)).alias("n_chunks")).where(
+        "n_chunks > 1"
+    )
+    counts = several.select(*FILE, F.explode("byte_counts").alias("x"))
+    counts = counts.groupBy(*FILE, F.col("x").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum(F.shiftright("x", 8)).alias("n"))
     total, n = F.sum("n"), F.col("n")
     # log2(total) - sum(n log2 n) / total
     entropy = F.log2(total) - F.sum(n * F.log2(n)) / total
@@ -129,12 +135,15 @@ def _merged(kind: int, name: str) -> Column:
 
 def merge_chunks(scanned: DataFrame) -> DataFrame:
     """One result per file (``RESULT_COLUMNS``) from the rows of its chunks. What meets per
-    file are its hits, which are its result, and some numbers a chunk."""
+    file are its hits, which are its result, and some numbers a chunk. Chunks without a
+    repository or path make up no file."""
+    scanned = scanned.where("repo_id is not null and path is not null")
     above = F.coalesce(F.sum("newlines").over(
         Window.partitionBy(*FILE).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ), F.lit(0)).cast("int")
     placed = scanned.withColumn("above", above).select(
-        *FILE, "size", "file_type", "is_binary", "chunk", "n_runs", (F.col("run_line") + F.col("above")).alias("run_line"),
+        *FILE, "size", "file_type", "is_binary", "chunk", "n_runs", "own_entropy",
+        F.col("byte_counts").isNotNull().alias("read"), (F.col("run_line") + F.col("above")).alias("run_line"),
         F.transform("hits", lambda x: x.withField(
             "hit", x["hit"].withField("line", x["hit"]["line"] + F.col("above"))
         )).alias("hits"),
@@ -143,12 +152,12 @@ def merge_chunks(scanned: DataFrame) -> DataFrame:
         F.max("size").alias("size"), F.max("file_type").alias("file_type"), F.max("is_binary").alias("is_binary"),
         F.sum("n_runs").cast("int").alias("n_runs"), F.min("run_line").alias("run_line"),
         F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.count(F.lit(1)).alias("n_chunks"), F.max("own_entropy").alias("own_entropy"), F.bool_or("read").alias("read"),
     )
-    measured = files.join(file_entropy(scanned), FILE, "left")
+    own = F.when(F.col("n_chunks") == 1, F.col("own_entropy"))
     # content of no bytes has entropy 0; no content has none
-    read = scanned.groupBy(*FILE).agg(F.bool_or(F.col("byte_counts").isNotNull()).alias("read"))
-    measured = measured.join(read, FILE).withColumn(
-        "entropy", F.coalesce("entropy", F.when(F.col("read"), F.lit(0.0)))
+    measured = files.join(file_entropy(scanned), FILE, "left").withColumn(
+        "entropy", F.coalesce(own, "entropy", F.when(F.col("read"), F.lit(0.0)))
     )
     found = [oversize(), F.coalesce(encoding.high_entropy(F.col("entropy")), no_findings())]
     for kind, name in enumerate(_KINDS):
