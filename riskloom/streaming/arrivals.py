@@ -19,7 +19,12 @@ from riskloom.plans.summary import rollup
 #: Files that may arrive again say which arrival it is; the greatest counts.
 VERSIONED_SCHEMA = f"{FILES_SCHEMA}, version bigint"
 CHANGES_SCHEMA = "repo_id string, risk_score double, files bigint, findings bigint, cautions bigint"
-_STATE = "version bigint, risk_score double, findings bigint, cautions bigint"
+_STATE = (
+    "repos array<string>, paths array<string>, versions array<bigint>, risk_scores array<double>, "
+    "findings array<bigint>, cautions array<bigint>"
+)
+#: Files share their state by groups, as a call of Python for each file costs more than all else.
+GROUPS = 1 << 13
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: str = FILES_SCHEMA) -> DataFrame:
@@ -35,35 +40,44 @@ def scan_arrivals(files: DataFrame, mode: str = "balanced") -> DataFrame:
 
 
 def _replace(key: tuple, arrivals: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a file's arrivals change in its repository: the result that held so far is
-    taken out, the newest comes in."""
-    held = tuple(state.get) if state.exists else None
-    newest = held
+    """What the arrivals of a group of files change in their repositories: the result of a
+    file that held so far is taken out, the newest comes in."""
+    held = {}
+    if state.exists:
+        repos, paths, *numbers = state.get
+        held = dict(zip(zip(repos, paths), zip(*numbers)))
+    newest = {}
     for batch in arrivals:
-        for r in batch.itertuples(index=False):
-            seen = (int(r.version), float(r.risk_score), int(r.findings), int(r.cautions))
-            newest = seen if newest is None else max(newest, seen)
-    if newest is not None and newest != held:
-        state.update(newest)
-        changes = [(key[0], held[1], -1, -held[2], -held[3])] if held else []
-        changes.append((key[0], newest[1], 1, newest[2], newest[3]))
-        yield pd.DataFrame(changes, columns=["repo_id", "risk_score", "files", "findings", "cautions"])
-
-
-def result_changes(results: DataFrame) -> DataFrame:
+        columns = (batch[c].tolist() for c in ("repo_id", "path", "version", "risk_score", "findings", "cautions"))
+        for repo_id, path, *seen in zip(*columns):
+            file, seen = (repo_id, path), tuple(seen)
+            newest[file] = max(newest.get(file) or held.get(file) or seen, seen)
+    changed = {file: now for file, now in newest.items() if now != held.get(file)}
+    if changed:
+        rows = [(file[0], was[1], -1, -was[2], -was[3]) for file in changed if (was := held.get(file))]
+        rows += [(file[0], now[1], 1, now[2], now[3]) for file, now in changed.items()]
+        held |= changed
+        state.update(tuple(map(list, zip(*((*file, *now) for file, now in held.items())))))
+        yield pd.DataFrame(rows, columns=["repo_id", "risk_score", "files", "findings", "cautions"])
+
+
+def result_changes(results: DataFrame, groups: int = GROUPS) -> DataFrame:
     """The changes (``CHANGES_SCHEMA``) that results with a ``version`` make: adding up all
     of them gives the state of each repository, with every file counted once, by its
     greatest version. An arrival of a smaller version changes nothing; of equal versions
     the higher score counts. Rows without a version, repository or path are left out.
 
-    State is four numbers a file, keyed by file, so a repository with a third of all files
-    is spread like any other."""
+    State is four numbers a file and its name. It is keyed by ``groups`` hashes of files, so
+    a repository with a third of all files is spread like any other, and a batch calls Python
+    once a group that has arrivals. A group is read and written as a whole: many times
+    the files ask for more groups. A checkpoint holds for one number of groups."""
     cautions = F.size(F.filter("findings", lambda f: is_caution(f["severity"])))
     numbers = results.where("version is not null and repo_id is not null and path is not null").select(
         "repo_id", "path", "version", "risk_score",
         (F.size("findings") - cautions).cast("bigint").alias("findings"), cautions.cast("bigint").alias("cautions"),
+        F.pmod(F.xxhash64("repo_id", "path"), F.lit(groups)).alias("file_group"),
     )
-    return numbers.groupBy("repo_id", "path").applyInPandasWithState(
+    return numbers.groupBy("file_group").applyInPandasWithState(
         _replace, CHANGES_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
