@@ -204,3 +204,10 @@ def test_a_run_knows_its_time_and_losses(make_files):
     assert {json.loads(r["report"])["scan_duration"] for r in texts} == {run.seconds}
     nothing = run_scan(files.limit(0))
     assert (nothing.listed, nothing.dropped, nothing.failed) == (0, 0, 0) and nothing.summary().count() == 0
+
+
+def test_texts_of_reports_are_put_together_behind_the_sort(results, capsys):
+    for formats in (exports.FORMATS, ("sarif",)):
+        exports._sorted(results, formats, by_repo=True).explain()
+        behind, sorted_ = capsys.readouterr().out.split("rangepartitioning", 1)
+        assert "struct(ruleId" in behind and "struct(ruleId" not in sorted_
