@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.components import connected_components
 from riskloom.llm.digests import exact_groups, keep_one
 from riskloom.llm.jaccard import jaccard_components
-from riskloom.llm.lines import _within, drop_lines, fuzzy_lines
+from riskloom.llm import lines as line_dedup
+from riskloom.llm.lines import _within, drop_lines, fuzzy_lines, simhashes
 from riskloom.llm.queries import op5_lines
 from riskloom.llm.substrings import remaining, remove_repeats
 
@@ -221,6 +222,35 @@ def test_recall_of_lines_within_a_tenth_of_edits(spark, docs_of, tmp_path):
     assert all(found >= 0.85 for found in share.values()), share
 
 
+def test_lines_of_which_many_words_change_by_a_letter(spark, docs_of, monkeypatch):
+    """No block of words is left of such lines; all pairs are held against the thresholds."""
+    rng = random.Random(3)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    lines = []
+    for i in range(90):
+        line = "".join(letter() for _ in range((16, 40, 110)[i % 3]))
+        for at in range(7, len(line) - 3, 9):
+            line = f"{line[:at]} {line[at + 1:]}"
+        other = list(line)
+        for at in rng.sample([k for k, c in enumerate(line) if c != " "], max(1, len(line) // (10 + 5 * (i % 2)))):
+            other[at] = letter()
+        lines += [line, "".join(other)]
+    lines = sorted(set(lines)) + ["münchen straße", "münchem straße", "a" * 70000, "a" * 69999 + "b", "x"]
+    bits = {r["line_id"]: r["simhash"] for r in simhashes(
+        spark.createDataFrame(list(enumerate(lines)), "line_id long, plain string")).collect()}
+    near = [
+        (x, y) for x in range(len(lines)) for y in range(x)
+        if ((bits[x] ^ bits[y]) & (2**64 - 1)).bit_count() <= 16 and abs(len(lines[x]) - len(lines[y])) <= 12
+    ]
+    links = [(x, y) for x, y in near if len(lines[x]) < 1000 and 10 * edits(lines[x], lines[y]) <= max(len(lines[x]), len(lines[y]))]
+    want = roots(range(len(lines)), links)
+    assert len(links) > 20
+    for tile in (line_dedup.TILE, 2000):  # classes in one slot, and in several
+        monkeypatch.setattr(line_dedup, "TILE", tile)
+        got = fuzzy_lines(docs_of(list(enumerate(lines)))).collect()
+        assert {r["doc_id"]: r["first_doc"] for r in got} == want
+
+
 def test_edits_of_lines_with_words_left_out_at_both_ends(spark):
     rng = random.Random(5)
     pairs = [("a b", "a b c"), ("a b", "a a b"), ("b", "a b"), ("a", "b"), ("ab cd", "abcd"), ("a b c", "b c a")]
