@@ -83,3 +83,15 @@ def test_scores_and_severities(results):
     assert {f["severity"] for f in results["root"]["findings"]} == {"low"}
     assert {f["severity"] for f in results["two_points"]["findings"]} == {"medium"}
     assert results["env"]["risk_score"] == 15.0
+
+
+def test_folded_letters_of_instructions(make_files):
+    texts = {
+        "folded": "FROM x:1 A\u017f Ba\u017fe\nFROM ba\u017fe\nU\u017fER app\nENV TO\u212aEN=abcdefgh1\nLABEL a=\u03a3\nENV A\u0130=\u0131\n",
+        "plain": "FROM x:1 AS Base\nFROM base\nUSER app\nENV TOKEN=abcdefgh1\nLABEL a=S\nENV AI=i\n",
+    }
+    got = {r["path"]: [(f["category"], f["line"]) for f in r["findings"] if f["detector"] == "dockerfile"]
+           for r in analyze(make_files(*[("r", f"{name}.dockerfile", text) for name, text in texts.items()])).collect()}
+    assert got["plain.dockerfile"] == [("dockerfile_hardcoded_secret", 4)]
+    assert ("dockerfile_hardcoded_secret", 4) in got["folded.dockerfile"]
+    assert not [c for c in got["folded.dockerfile"] if c[0] == "dockerfile_root_user"]

@@ -3,13 +3,16 @@
 import fnmatch
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions import text as T
+from riskloom.functions import entropy as E
 from riskloom.functions.entropy import byte_entropy
 from riskloom.functions.globs import globs_to_regex
+from riskloom.functions.versions import parse_version
 from riskloom.operators import paths
 from riskloom.operators.paths import ignore_lists, select_files
 from riskloom.plans.scan import analyze, prepare, scan
@@ -191,3 +194,21 @@ def test_ignore_lists_are_read_from_their_own_partition(spark, make_files, tmp_p
     seen = {(r["repo_id"], r["path"]): r["selected"] for r in select_files(stored).collect()}
     assert seen == {(r["repo_id"], r["path"]): r["selected"] for r in select_files(files).collect()}
     assert seen["r", "a.py"] and not seen["r", "a.md"] and seen["s", "a.md"]
+
+
+def test_entropies_of_many_values_at_once(monkeypatch):
+    monkeypatch.setattr(E, "BYTES_AT_ONCE", 40)
+    monkeypatch.setattr(E, "VALUES_AT_ONCE", 5)
+    values = [b"", b"aab", None, bytes(range(30)), b"x" * 100, b"", None, b"abcabcd" * 9, *(bytes([i, i, 0]) for i in range(20))]
+    for data in (pa.array(values, pa.binary()), pa.array([b"zz", *values, b"q"], pa.binary()).slice(1, len(values))):
+        got = E.byte_entropies(data).to_pylist()
+        assert got == [None if v is None else pytest.approx(byte_entropy(v), abs=1e-12) for v in values]
+    assert E.byte_entropies(pa.array([], pa.binary())).to_pylist() == []
+    assert E.byte_entropies(pa.nulls(3, pa.binary())).to_pylist() == [None] * 3
+
+
+def test_versions_and_texts_that_are_no_version(spark):
+    good = {"1": [1], "1.2.0": [1, 2, 0], " 1 . 02": [1, 2], "-1.+2": [-1, 2], "1.\t2 ": [1, 2]}
+    bad = ["", " ", ".", "1.", ".1", "1..2", ">=1.2", "1.x", "1.2\n.", "*", "1 2", "99999999999999999999", "1.2-3", "1.٣", None]
+    rows = spark.createDataFrame([(v,) for v in [*good, *bad]], "v string").select("v", parse_version(F.col("v")).alias("got"))
+    assert {r["v"]: r["got"] for r in rows.collect()} == {**good, **dict.fromkeys(bad)}
