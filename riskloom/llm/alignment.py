@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.lengths import PATTERN
-from riskloom.storage import materialize
+from riskloom.storage import WIDE_ROWS, materialize
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
@@ -393,10 +393,11 @@ def _merge_pieces(models: Models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = models.encoders()
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b = np.array(r["a"], np.int64), np.array(r["b"], np.int64)
-                a_ends, b_ends = r["a_from"] + np.cumsum(e.a_sizes[a]), r["b_from"] + np.cumsum(e.b_sizes[b])
+            # one piece at a time, as a batch may hold hundreds of them
+            for i in range(batch.num_rows):
+                r = {k: batch.column(k)[i].as_py() for k in ("block", "doc", "doc_id", "piece", "a_from", "b_from")}
+                a, b = (_flat(batch.column(k), i).astype(np.int64) for k in "ab")
+                a_ends, b_ends = r.pop("a_from") + np.cumsum(e.a_sizes[a]), r.pop("b_from") + np.cumsum(e.b_sizes[b])
                 common = _merged(a_ends, b_ends)
                 n_a, n_b = _sizes(a_ends, common), _sizes(b_ends, common)
                 low = (n_a[0], n_b[0]) if len(common) else (len(a), len(b))
@@ -404,17 +405,21 @@ def _merge_pieces(models: Models):
                 own = a[low[0] : high[0]], b[low[1] : high[1]], n_a[1:], n_b[1:]
                 keys, times = _links(*own, np.zeros(len(n_a[1:]), np.int64))
                 codes = _codes(*own, np.zeros(len(n_a[1:]), bool))
-                rows.append({k: r[k] for k in ("block", "doc", "doc_id", "piece")} | {
+                yield pa.RecordBatch.from_pylist([r | {
                     "cut": len(common) > 0, "n_a": len(a), "n_b": len(b),
                     "n_groups": len(n_a[1:]), "n_links": int((n_a[1:] * n_b[1:]).sum()),
                     "head_a": a[: low[0]], "head_b": b[: low[1]], "tail_a": a[high[0] :], "tail_b": b[high[1] :],
                     "written": b"".join(map(e.written.__getitem__, codes.tolist())), "pairs": keys, "times": times,
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=_merged_type())
+                }], schema=_merged_type())
 
     return run
 
 
+def _flat(lists: pa.Array, i: int) -> np.ndarray:
+    """The numbers of a list, without a Python number for each."""
+    return lists[i].values.to_numpy()
+
+
 def _merged_type() -> pa.Schema:
     ids, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
     return pa.schema([
@@ -431,30 +436,30 @@ def _stitch(models: Models):
 
     def run(table: pa.Table) -> pa.Table:
         e = models.encoders()
+        rows = table.combine_chunks().to_batches()[0]
         digest, held_a, held_b, keys, times = hashlib.sha256(), [], [], [], []
-        doc = {"doc_id": None, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0}
+        doc = {"doc_id": rows.column("doc_id")[0].as_py(), "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0}
         first = True
-        for r in sorted(table.to_pylist(), key=lambda r: r["piece"]):
-            doc["doc_id"] = r["doc_id"]
+        for i in np.argsort(rows.column("piece").to_numpy(), kind="stable").tolist():
             for name in ("n_a", "n_b", "n_groups", "n_links"):
-                doc[name] += r[name]
-            held_a += r["head_a"]
-            held_b += r["head_b"]
-            if not r["cut"]:
+                doc[name] += rows.column(name)[i].as_py()
+            held_a.append(_flat(rows.column("head_a"), i))
+            held_b.append(_flat(rows.column("head_b"), i))
+            if not rows.column("cut")[i].as_py():
                 continue
-            a, b = np.array(held_a, np.int64), np.array(held_b, np.int64)
+            a, b = np.concatenate(held_a).astype(np.int64), np.concatenate(held_b).astype(np.int64)
             n_a, n_b, one = np.array([len(a)]), np.array([len(b)]), np.zeros(1, np.int64)
             written = b"".join(map(e.written.__getitem__, _codes(a, b, n_a, n_b, np.ones(1, bool)).tolist()))
             digest.update(written if first else b";" + written)
             first = False
-            if r["written"]:
-                digest.update(b";" + r["written"][:-1])
+            if inside := rows.column("written")[i].as_py():
+                digest.update(b";" + inside[:-1])
             found, many = _links(a, b, n_a, n_b, one)
-            keys += [found, np.array(r["pairs"], np.int64)]
-            times += [many, np.array(r["times"], np.int64)]
+            keys += [found, _flat(rows.column("pairs"), i)]
+            times += [many, _flat(rows.column("times"), i)]
             doc["n_groups"] += 1
             doc["n_links"] += len(a) * len(b)
-            held_a, held_b = r["tail_a"], r["tail_b"]
+            held_a, held_b = [_flat(rows.column("tail_a"), i)], [_flat(rows.column("tail_b"), i)]
         found, which = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(found), np.int64)
         np.add.at(total, which, np.concatenate(times))
@@ -463,21 +468,19 @@ def _stitch(models: Models):
     return run
 
 
-def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            flat = lambda name: batch.column(name)[i].values  # noqa: B023, E731
-            docs = flat("docs").flatten()
-            first, entry, times = (flat(c).to_numpy() for c in ("first", "entry", "times"))
-            sums = [np.zeros(len(docs[0]), np.int64)] * 2
-            if len(entry):
-                count, best = flat("count").to_numpy(), flat("best").to_numpy(zero_copy_only=False)
-                sums = [
-                    np.diff(_bounds(times * weight[entry])[first])
-                    for weight in (best.astype(np.int64), count)
-                ]
-            names = [c.split()[0] for c in _DOC.split(", ")]
-            yield pa.RecordBatch.from_arrays([*docs, pa.array(sums[0]), pa.array(sums[1])], [*names, "n_best", "count_sum"])
+def _count_links(block: pa.Table, answer: pa.Table) -> pa.Table:
+    """The rows of the documents of a block, from the counts of its pairs."""
+    row = block.combine_chunks().to_batches()[0]
+    docs = row.column("docs")[0].values.flatten()
+    first, entry, times = (_flat(row.column(c), 0) for c in ("first", "entry", "times"))
+    at = answer.column("at").to_numpy()
+    sums = []
+    for name in ("best", "count"):
+        weight = np.zeros(len(at), np.int64)
+        weight[at] = answer.column(name).to_numpy()
+        sums.append(np.diff(_bounds(times * weight[entry])[first]) if len(entry) else np.zeros(len(docs[0]), np.int64))
+    names = [c.split()[0] for c in _DOC.split(", ")]
+    return pa.Table.from_arrays([*docs, pa.array(sums[0]), pa.array(sums[1])], [*names, "n_best", "count_sum"])
 
 
 def aligned_blocks(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,12 +488,12 @@ def aligned_blocks(docs: DataFrame, models: Models, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = f"struct<{', '.join(': '.join(c.split(' ', 1)) for c in PIECE_SCHEMA.split(', '))}>"
     encoded = texts.mapInArrow(_encode(models), f"{BLOCK_SCHEMA}, pieces array<{kind}>")
-    stored = materialize(encoded.withColumn("block", F.monotonically_increasing_id()))
+    stored = materialize(encoded.withColumn("block", F.monotonically_increasing_id()), **WIDE_ROWS)
     pieces = stored.where("size(pieces) > 0").select("block", F.inline("pieces"))
     merged = pieces.repartition("block", "doc", "piece").mapInArrow(_merge_pieces(models), MERGED_SCHEMA)
     stitched = merged.groupBy("block", "doc").applyInArrow(_stitch(models), BLOCK_SCHEMA)
     # blocks of single long documents have numbers below zero
-    long_ = materialize(stitched.withColumn("block", -1 - F.monotonically_increasing_id()))
+    long_ = materialize(stitched.withColumn("block", -1 - F.monotonically_increasing_id()), **WIDE_ROWS)
     return stored.drop("pieces").unionByName(long_)
 
 
@@ -526,11 +529,11 @@ def align(
     models = Models(docs.sparkSession, path_a, path_b, pattern)
     blocks = aligned_blocks(docs, models, id_col, text_col)
     own = blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
-    answered = own.join(materialize(pair_counts(blocks)), "pair").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("answer")
+    # rows, not a list for each block: what a task holds of them can go to disk
+    answers = own.join(materialize(pair_counts(blocks)), "pair").select(
+        F.col("block").alias("of_block"), "at", "count", "best"
+    )
+    bare = blocks.select("block", "docs", "first", "entry", "times")
+    return bare.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(
+        _count_links, f"{_DOC}, n_best long, count_sum long"
     )
-    answered = answered.select("block", F.col("answer.count").alias("count"), F.col("answer.best").alias("best"))
-    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
-    return blocks.join(answered, "block", "left").select(
-        "docs", "first", "entry", "times", empty("count", "long"), empty("best", "boolean")
-    ).mapInArrow(_count_links, f"{_DOC}, n_best long, count_sum long")

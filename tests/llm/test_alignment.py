@@ -6,11 +6,14 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import words
 
 from riskloom.llm import alignment
 from riskloom.llm.alignment import TOKENIZER_A, TOKENIZER_B, align, common_ends, diagonals
+from riskloom.storage import WIDE_ROWS, store
 
 pytestmark = pytest.mark.skipif(not Path(TOKENIZER_A).exists(), reason="tokenizer files not present")
 ODD = [
@@ -152,3 +155,24 @@ def test_repeated_texts_count_as_documents(docs_of):
     rows = align(docs_of([(1, text), (1, text), (None, text)])).collect()
     assert len({(r["n_best"], r["count_sum"]) for r in rows}) == 1
     assert rows[0]["count_sum"] == 3 * rows[0]["n_links"]
+
+
+def test_pieces_are_merged_one_at_a_time(spark):
+    models = alignment.Models(spark, TOKENIZER_A, TOKENIZER_B, alignment.PATTERN)
+    block = alignment._aligned_block(models.encoders(), [7, 8], [words(i, 16_000) for i in (1, 2)])
+    pieces = block.column("pieces")[0].values
+    batch = pa.RecordBatch.from_struct_array(pieces)
+    batch = batch.append_column("block", pa.array([0] * len(pieces), pa.int64()))
+    assert len(pieces) > 3
+    assert [b.num_rows for b in alignment._merge_pieces(models)([batch])] == [1] * len(pieces)
+
+
+def test_no_task_holds_lists_of_several_blocks(docs_of):
+    plan = align(docs_of([(1, "one text")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_wide_rows_are_stored_in_small_groups(spark):
+    rows = spark.range(0, 12, 1, 1).selectExpr("id", "transform(sequence(1, 500000), i -> xxhash64(id, i)) AS numbers")
+    (file,) = Path(store(rows, **WIDE_ROWS).removeprefix("file:")).glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1
