@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.components import connected_components
 from riskloom.llm.digests import exact_groups, keep_one
 from riskloom.llm.jaccard import jaccard_components
-from riskloom.llm.lines import _within, drop_lines, fuzzy_lines
+from riskloom.llm.lines import _within, drop_lines, fuzzy_lines, normalise_line, word_blocks
 from riskloom.llm.queries import op5_lines
 from riskloom.llm.substrings import remaining, remove_repeats
 
@@ -235,3 +235,26 @@ def test_edits_of_lines_with_words_left_out_at_both_ends(spark):
     got = spark.createDataFrame(pairs, "x string, y string").selectExpr("*", "explode(sequence(0, 8)) AS most")
     for r in got.withColumn("ok", _within(F.col("most"))).collect():
         assert r["ok"] == (edits(r["x"], r["y"]) <= r["most"]), r
+
+
+def test_lines_that_share_small_blocks_only(docs_of):
+    """Two words of which one changes a letter, and long lines with one word in each of
+    their common blocks."""
+    vocabulary = [w + e for w in ("internationalisation", "counterrevolutionary", "uncharacteristically", "incomprehensibility")
+                  for e in ("", "abc", "def", "ghi")]
+    pairs = [(f"{x} {y}", f"{x} {y[:-1]}q") for x in vocabulary for y in vocabulary if x != y]
+    rows = [(i, line) for i, line in enumerate(sum(pairs, ()))]
+    got = {r["doc_id"]: r["first_doc"] for r in fuzzy_lines(docs_of(rows)).collect()}
+    linked = sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs)))
+    assert linked > 0
+
+
+def test_no_block_is_left_out(spark, docs_of):
+    lines = ["alpha beta", "alpha beta gamma delta epsilon", "one"]
+    docs = docs_of(list(enumerate(lines)))
+    blocks = word_blocks(docs, "doc_id", "text", 90).groupBy("key_a").agg(F.count("*").alias("n"))
+    plain = docs.select("doc_id", F.xxhash64(normalise_line(F.col("text"))).alias("key_a")).join(blocks, "key_a", "left")
+    held = {r["doc_id"]: r["n"] for r in plain.collect()}
+    hashes = [r["h"] for r in spark.sql(f"SELECT explode(split('{lines[1]}', ' ')) AS w").select(F.xxhash64("w").alias("h")).collect()]
+    # three and four blocks, of which each holds a word or more
+    assert held[1] == sum(len({h % n for h in hashes}) for n in (3, 4)) and held[0] >= 2 and held[2] is None
